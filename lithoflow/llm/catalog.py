@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lithoflow.llm import exact, tokens
+from lithoflow.llm import chat, decontaminate, exact, langid, licenses, mix, near, quality, repeats, tokens
 
-MODULES = (exact, tokens)
+MODULES = (exact, tokens, decontaminate, mix, licenses, langid, repeats, chat, quality, near)
 
 
 def queries():
