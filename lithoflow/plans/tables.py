@@ -67,3 +67,11 @@ def sorted_names(distinct: DataFrame, keys: list[str], name_col: str, name: str)
 
 def null_safe(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that shuffles of finished jobs are garbage, so that executors delete their files."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
