@@ -133,11 +133,11 @@ WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source
 w AS (SELECT source, n, cast(greatest(1, round(pow(n::double, {ALPHA}) / sum(pow(n::double, {ALPHA})) OVER () * {FRAME})) AS bigint) AS c FROM n),
 l AS (SELECT list(c ORDER BY source) AS c, list(source ORDER BY source) AS s, sum(c)::bigint AS p FROM w),
 edf(t, had, k) AS (
-  SELECT 0::bigint, list_transform(c, x -> 0::bigint), 0::bigint FROM l
+  SELECT 0::bigint, list_transform(c, lambda x: 0::bigint), 0::bigint FROM l
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(c) + 1), i -> had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  SELECT t + 1, list_transform(range(1, len(c) + 1), lambda i: had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
   FROM (SELECT t, had, c, p, (list_min(list_transform(range(1, len(c) + 1),
-      i -> CASE WHEN had[i] * p < (t + 1) * c[i] THEN (((had[i] + 1) * p + c[i] - 1) // c[i]) * 100000 + i ELSE 9000000000000000 END)) % 100000)::bigint AS pick
+      lambda i: CASE WHEN had[i] * p < (t + 1) * c[i] THEN (((had[i] + 1) * p + c[i] - 1) // c[i]) * 100000 + i ELSE 9000000000000000 END)) % 100000)::bigint AS pick
     FROM edf, l WHERE t < p)
 ),
 f AS (SELECT l.s[k] AS source, t - 1 AS spot, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS within, p FROM edf, l WHERE t > 0),

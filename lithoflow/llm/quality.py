@@ -162,25 +162,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: st
     return fit(x, first, y)
 
 
-def predict(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, predicted, n_passages`` for each input row.
+def predict(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, score, predicted, n_passages`` for each input row; with ``carry`` these columns of ``docs`` in place of ``doc_id``.
 
     Null text counts as empty; an empty text is a bag with one empty passage and has
     a score too. Repeated rows are scored each for itself, null ids pass through,
     other columns are ignored, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([src.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())])
+    heads = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
+    src = docs.select(*heads, F.col(text_col).alias("_scored"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())])
 
     def run(batches):
         for b in batches:
             score, n = [], []
-            for _, _, data, off in chunks(b.column(1)):
+            for _, _, data, off in chunks(b.column(len(heads))):
                 x, first = passage_features(data, off)
                 score.append(shared.value.score(x, first).astype(np.float64)), n.append(np.diff(first))
             if score:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score)), pa.array(np.concatenate(n).astype(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(heads)], pa.array(np.concatenate(score)), pa.array(np.concatenate(n).astype(np.int64))], names=schema.names)
 
     out = src.mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
