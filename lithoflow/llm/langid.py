@@ -140,9 +140,11 @@ class Labeller:
             yield ws, viterbi(self.scores[ids]) if ids else np.zeros(0, np.int64)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[int]]:
+        if not self.model.langs:
+            return ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
         langs, scores, n_spans = [], [], []
         for ws, path in self.spans(texts):
-            if not ws or not self.model.langs:
+            if not ws:
                 langs.append("und"), scores.append(0.0), n_spans.append(0)
                 continue
             share = np.bincount(path, weights=np.fromiter(map(len, ws), np.int64, len(ws)), minlength=len(self.model.langs))
