@@ -11,25 +11,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Variogram = list[dict]
-_PART = re.compile(r"\s*([-+.\deE]+)\s+([A-Za-z]\w*)\s*\(\s*([^()]*)\)\s*")
+_PART = re.compile(r"\s*([-+]?[\w.]+(?:[eE][-+]?\d+)?)\s+([A-Za-z]\w*)\s*\(\s*([^()]*)\)\s*(\+|$)")
 #: Fixed value: added to the diagonal before a factorisation.
 NUGGET = 1e-5
 
 
 def parse_variogram(text: str) -> Variogram:
     """``"<sill> <Model>(<range>) + ..."`` as dicts ``type, par1`` (sill) and ``par2`` (range)."""
-    out = []
-    for part in re.split(r"\+(?![^(]*\))(?!\d*\.?\d*$)", text) if text.strip() else [""]:
-        m = _PART.fullmatch(part)
+    out, pos, more = [], 0, True
+    while more:
+        m = _PART.match(text, pos)
         if not m:
-            raise ValueError(f"cannot read variogram part {part!r} of {text!r}")
+            raise ValueError(f"cannot read variogram {text!r} from {text[pos:]!r} on")
         try:
             sill, rng = float(m[1]), float(m[3].split(",")[0])
         except ValueError as e:
-            raise ValueError(f"cannot read variogram part {part!r}") from e
+            raise ValueError(f"cannot read variogram part {m[0]!r}") from e
         if not (math.isfinite(sill) and math.isfinite(rng)):
-            raise ValueError(f"variogram part {part!r} is not finite")
+            raise ValueError(f"variogram part {m[0]!r} is not finite")
         out.append({"type": m[2], "par1": sill, "par2": rng})
+        pos, more = m.end(), bool(m[4])
     return out
 
 

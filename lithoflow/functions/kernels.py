@@ -9,6 +9,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def register_certainty_function(name: str, fn: Kernel, overwrite: bool = False)
 
 def from_numpy(fn) -> Kernel:
     """Adapter for a vectorised NumPy kernel, run as an Arrow-batched UDF."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(d: pd.Series, r: pd.Series, w: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series(fn(d.to_numpy(), r.to_numpy(), w.to_numpy(), s.to_numpy()))

@@ -27,7 +27,8 @@ def combine_variances(themes: Sequence[DataFrame], *, prior: DataFrame | None, w
 
     A cell that is missing in one theme (a row with a missing variance) is missing.
     Infinite variances add nothing. Without a prior a warning counts the cells that
-    no theme informs; ``warn=False`` saves that extra pass.
+    no theme informs or whose combination reaches the sentinel; ``warn=False`` saves
+    that extra pass.
     """
     if not themes:
         raise ValueError("no themes to combine")
@@ -35,16 +36,17 @@ def combine_variances(themes: Sequence[DataFrame], *, prior: DataFrame | None, w
     v = F.col("variance")
     out = rows.groupBy(*_KEY).agg(all_present(safe_recip(F.sum(safe_recip(v))), v).alias("variance"))
     if prior is None and warn:
-        n = suspect_count(out).first()[0]
+        n = suspect_count(themes).agg(F.sum("n_suspect")).first()[0]
         if n:
-            warnings.warn(f"{n} cell(s) are informed by no theme and there is no prior", stacklevel=2)
+            warnings.warn(f"{n} cell(s) are informed by no theme or reach the sentinel, and there is no prior", stacklevel=2)
     return out
 
 
-def suspect_count(combined: DataFrame) -> DataFrame:
-    """One row: how many cells are missing or at least the sentinel."""
+def suspect_count(themes: Sequence[DataFrame]) -> DataFrame:
+    """``layer, n_suspect``: cells that no theme informs, or whose combination is missing or at least the sentinel."""
     v = F.col("variance")
-    return combined.agg(F.count_if(v.isNull() | (v >= SENTINEL)).alias("n_suspect"))
+    rows = stack(themes).groupBy(*_KEY).agg(all_present(safe_recip(F.sum(safe_recip(v))), v).alias("_c"), F.coalesce(F.bool_or(v < SENTINEL), F.lit(False)).alias("_i"))
+    return rows.groupBy("layer").agg(F.count_if(~F.col("_i") | ~F.coalesce(F.col("_c") < SENTINEL, F.lit(False))).alias("n_suspect"))
 
 
 def constant_prior(cells: DataFrame, variance_per_layer: Sequence[float]) -> DataFrame:

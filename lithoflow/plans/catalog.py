@@ -262,12 +262,14 @@ def combine_with_prior(spark, d):
 
 
 @query(f"""WITH {_BOTH}, u AS (SELECT * FROM a_theme UNION ALL SELECT * FROM b_theme),
-comb AS (SELECT iy, ix, layer, CASE WHEN count(variance) = count(*) THEN 1 / sum(1 / variance) END AS variance FROM u GROUP BY ALL)
-SELECT layer, count(*) FILTER (WHERE variance IS NULL OR variance >= 100000) AS n_suspect, round(sum(CASE WHEN variance < 1e6 THEN variance END), 3) AS total FROM comb GROUP BY layer""")
+comb AS (SELECT iy, ix, layer, CASE WHEN count(variance) = count(*) THEN 1 / sum(1 / variance) END AS variance, coalesce(bool_or(variance < 100000), false) AS informed FROM u GROUP BY ALL)
+SELECT layer, count(*) FILTER (WHERE NOT informed OR variance IS NULL OR variance >= 100000) AS n_suspect, round(sum(CASE WHEN variance < 1e6 THEN variance END), 3) AS total FROM comb GROUP BY layer""")
 def combine_no_prior_suspect_count(spark, d):
-    c = combine.combine_variances([theme_frame(n, spark, d) for n in _TWO], prior=None, warn=False)
+    both = [theme_frame(n, spark, d) for n in _TWO]
+    c = combine.combine_variances(both, prior=None, warn=False)
     v = F.col("variance")
-    return c.groupBy("layer").agg(F.count_if(v.isNull() | (v >= 100000)).alias("n_suspect"), F.round(F.sum(F.when(v < 1e6, v)), 3).alias("total"))
+    total = c.groupBy("layer").agg(F.round(F.sum(F.when(v < 1e6, v)), 3).alias("total"))
+    return combine.suspect_count(both).join(total, "layer")
 
 
 @query(f"WITH {_BOTH} SELECT iy, ix, layer, coalesce(bool_or(variance < 100000), false) AS informed FROM (SELECT * FROM a_theme UNION ALL SELECT * FROM b_theme) GROUP BY ALL")

@@ -70,7 +70,7 @@ def test_cli_round_trip(spark, tmp_path):
     for n, depth in enumerate((10.0, 300.0)):
         (tmp_path / f"b{n}.asc").write_bytes(codecs.write_esri(terrain - depth, META))
     args = ["combine", "--theme", str(tmp_path / "a"), "--theme", str(tmp_path / "b"), "--no-prior", "--terrain", str(tmp_path / "t.asc"), "--bottom", str(tmp_path / "b0.asc"), "--bottom", str(tmp_path / "b1.asc"), "--out", str(tmp_path / "out")]
-    with pytest.warns(UserWarning, match="informed by no theme") if False else __import__("contextlib").nullcontext():
+    with pytest.warns(UserWarning, match="7 cell|14 cell"):
         main(args)
     want = 1 / (1 / stacks["a"] + 1 / stacks["b"])
     want = np.maximum(want, np.array([0.1**2, 3.0**2])[:, None, None])
