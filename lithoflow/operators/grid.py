@@ -32,7 +32,7 @@ class GridMeta:
     transform: tuple[float, ...] | None = None
 
     @classmethod
-    def of(cls, meta: "Mapping[str, Any] | GridMeta") -> "GridMeta":
+    def of(cls, meta: Mapping[str, Any] | GridMeta) -> GridMeta:
         """From a mapping, with ``cellsize`` and ``nodata_value`` as older names; ``dy`` defaults to ``dx``."""
         if isinstance(meta, GridMeta):
             return meta
@@ -68,7 +68,7 @@ class GridMeta:
         return r.select(iy.alias("iy"), ix.alias("ix"), (F.lit(self.xllcorner) + F.lit(self.dx) * (ix + 0.5)).alias("x"), (F.lit(self.yllcorner) + F.lit(self.dy) * (iy + 0.5)).alias("y"))
 
 
-def grids_aligned(a: "Mapping | GridMeta", b: "Mapping | GridMeta") -> bool:
+def grids_aligned(a: Mapping | GridMeta, b: Mapping | GridMeta) -> bool:
     """Same shape, spacing and origin, within 1e-6 + 1e-9 of the size; crs and nodata do not matter."""
     a, b = GridMeta.of(a), GridMeta.of(b)
     near = lambda x, y: abs(x - y) <= 1e-6 + 1e-9 * abs(y)
@@ -122,3 +122,19 @@ def import_classes(cells: DataFrame, classes: DataFrame, shift: float = 50.0) ->
     c = classes.select((F.col("x") + shift).alias("x"), (F.col("y") + shift).alias("y"), F.col("cls").alias("_c"))
     k = F.coalesce(F.col("_c"), F.lit(0))
     return cells.join(c, ["x", "y"], "left").select("iy", "ix", F.when(k < -1, 0).otherwise(k).alias("cls"))
+
+
+def normalize_coordinates(points: DataFrame, xmin: float, ymin: float, dx: float, dy: float) -> DataFrame:
+    """``points`` with ``xn, yn``: 1-based grid coordinates, ``(x - min) / step + 1``."""
+    return points.withColumn("xn", (F.col("x") - F.lit(float(xmin))) / F.lit(float(dx)) + 1.0).withColumn("yn", (F.col("y") - F.lit(float(ymin))) / F.lit(float(dy)) + 1.0)
+
+
+def mosaic(tiles: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``iy, ix, layer, value`` of cells ``tile, iy, ix, layer, value`` moved by ``tile, oy, ox``; tiles without an offset are left out, of overlaps the largest tile name stays."""
+    at = tiles.join(F.broadcast(offsets), "tile").withColumn("iy", F.col("iy") + F.col("oy")).withColumn("ix", F.col("ix") + F.col("ox"))
+    return at.groupBy("iy", "ix", "layer").agg(F.max_by("value", "tile").alias("value"))
+
+
+def match_coordinates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` whose ``x`` and ``y`` both occur among those of ``b``."""
+    return a.join(b.select("x", "y").distinct(), ["x", "y"], "left_semi")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoflow.functions.geostat import covariance, interpolate
-from lithoflow.operators.neighbourhood import around, patches, reflect_pad, window_mean_sill
+from lithoflow.operators.neighbourhood import around, reflect_pad, window_mean_sill
 from lithoflow.operators.points import sample_cells
 from lithoflow.plans.tables import materialize
 

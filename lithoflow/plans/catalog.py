@@ -505,6 +505,120 @@ def range_sill_surface(spark, d):
     return out.select("iy", "ix", *(F.round(c, 6).alias(c) for c in ("range", "sill", "lf_mean", "residual")))
 
 
+# ---- further grid, filter and assembly operators
+_META = grid.GridMeta.of({"ncols": X.SIDE, "nrows": X.SIDE, "cellsize": 100, "xllcorner": 500000, "yllcorner": 6100000})
+
+
+@query("SELECT y.i::int AS iy, x.i::int AS ix, 500000 + 100 * (x.i + 0.5::double) AS x, 6100000 + 100 * (y.i + 0.5::double) AS y FROM (SELECT unnest(range(25)) AS i) y CROSS JOIN (SELECT unnest(range(25)) AS i) x")
+def cell_centres(spark, d):
+    return _META.cells(spark)
+
+
+@query(f"WITH s AS ({X.SURFACE}) SELECT pid, value FROM ({X.POINTS}) p JOIN s ON s.ix = greatest(0, least(24, cast(trunc((p.x - 500050) / 100 + 0.5) AS int))) AND s.iy = greatest(0, least(24, cast(trunc((p.y - 6100050) / 100 + 0.5) AS int)))")
+def sample_at_points(spark, d):
+    return grid.sample_at(obs(spark, d), surface(spark, d), _META).select("pid", "value")
+
+
+@query(f"WITH c AS ({X.CELLS}) SELECT iy, ix, CASE WHEN k < -1 THEN 0 ELSE coalesce(k, 0) END AS cls FROM (SELECT c.iy, c.ix, t.cls - 3 AS k FROM c LEFT JOIN c t ON t.x - 50 + 50 = c.x AND t.y - 50 + 50 = c.y AND t.ix < 20)")
+def complexity_import(spark, d):
+    c = cells(spark, d)
+    t = c.where("ix < 20").select((F.col("x") - 50).alias("x"), (F.col("y") - 50).alias("y"), (F.col("cls") - 3).alias("cls"))
+    return grid.import_classes(c, t)
+
+
+@query(f"SELECT pid, round((x - 500000) / 100 + 1, 6) AS xn, round((y - 6100000) / 100 + 1, 6) AS yn FROM ({X.POINTS}) p WHERE x BETWEEN 500500 AND 501500 AND y BETWEEN 6100200 AND 6101000")
+def bbox_and_normalised_coordinates(spark, d):
+    p = grid.normalize_coordinates(wells.bbox(obs(spark, d), 500500, 501500, 6100200, 6101000), 500000, 6100000, 100, 100)
+    return p.select("pid", F.round("xn", 6).alias("xn"), F.round("yn", 6).alias("yn"))
+
+
+@query(f"SELECT pid, CASE WHEN yr = 1995 THEN 2017 ELSE yr END AS year FROM ({X.POINTS}) p WHERE CASE WHEN yr = 1995 THEN 2017 ELSE yr END BETWEEN 1001 AND 2017 AND yr <> 1996")
+def well_date_filter(spark, d):
+    p = obs(spark, d).select("pid", F.when(F.col("yr") == 1995, 2107).when(F.col("yr") == 1996, 0).otherwise(F.col("yr")).alias("year"))
+    return wells.date_filter(p, 2017)
+
+
+_MASK = f"SELECT iy, ix, CASE WHEN iy BETWEEN 6 AND 17 AND ix BETWEEN 4 AND 15 AND (ix * iy) % 11 > 0 THEN 1 ELSE 0 END AS value FROM ({X.CELLS}) c"
+
+
+@query(f"""WITH m AS ({_MASK}), g AS (SELECT m.iy, m.ix, m.value,
+  abs(CASE WHEN m.ix = 0 THEN e.value - m.value WHEN m.ix = 24 THEN m.value - w.value ELSE (e.value - w.value) / 2 END) + abs(CASE WHEN m.iy = 0 THEN n.value - m.value WHEN m.iy = 24 THEN m.value - s.value ELSE (n.value - s.value) / 2 END) AS g
+  FROM m LEFT JOIN m e ON e.iy = m.iy AND e.ix = m.ix + 1 LEFT JOIN m w ON w.iy = m.iy AND w.ix = m.ix - 1 LEFT JOIN m n ON n.ix = m.ix AND n.iy = m.iy + 1 LEFT JOIN m s ON s.ix = m.ix AND s.iy = m.iy - 1)
+SELECT iy, ix, g > 0 AND value = 0 AS outer_ring, g > 0 AND value = 1 AS inner_ring FROM g""")
+def border_rings(spark, d):
+    m = X.frame(spark, d, _MASK)
+    a, b = (neighbourhood.border_ring(m, k).withColumnRenamed("border", c) for k, c in (("positive", "outer_ring"), ("negative", "inner_ring")))
+    return a.join(b, ["iy", "ix"])
+
+
+@query(f"WITH s AS (SELECT iy, ix, CASE WHEN (ix + iy) % 6 > 0 THEN value END AS value FROM ({X.SURFACE}) s) SELECT a.iy, a.ix, round(avg(b.value), 6) AS value FROM s a JOIN s b ON abs(a.iy - b.iy) <= 2 AND abs(a.ix - b.ix) <= 3 GROUP BY a.iy, a.ix")
+def sliding_mean(spark, d):
+    s = surface(spark, d).withColumn("value", F.when((F.col("ix") + F.col("iy")) % 6 > 0, F.col("value")))
+    return neighbourhood.smooth(s, 5, 7).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH s AS ({X.SURFACE}) SELECT c.iy, c.ix, count(s.value) AS n, sum(s.value * ((s.iy - c.iy + 2) * 5 + s.ix - c.ix + 3)) AS weighted FROM s c JOIN s ON abs(s.iy - c.iy) <= 2 AND abs(s.ix - c.ix) <= 2 WHERE c.ix % 4 = 0 GROUP BY c.iy, c.ix")
+def local_patches(spark, d):
+    s = surface(spark, d)
+    p = neighbourhood.patches(s, s.where("ix % 4 = 0"), 5)
+    w = F.aggregate(F.transform("patch", lambda v, k: F.coalesce(v * (k + 1), F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
+    return p.select("iy", "ix", F.size(F.filter("patch", lambda v: v.isNotNull())).cast("long").alias("n"), w.alias("weighted"))
+
+
+@query(f"WITH e AS ({X.ESTIMATES}) SELECT label, round(quantile_cont(sill, 0.05), 6) AS p05, round(quantile_cont(sill, 0.5), 6) AS p50, round(quantile_cont(sill, 0.95), 6) AS p95 FROM e GROUP BY label")
+def percentile_summary(spark, d):
+    p = neighbourhood.percentile_summary(X.frame(spark, d, X.ESTIMATES), value="sill")
+    return p.select("label", *(F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")))
+
+
+@query(f"WITH b AS ({X.BOTTOMS}), m AS (SELECT iy, ix, bottom AS v FROM b WHERE layer = 0), g AS (SELECT iy, ix, bottom AS value FROM b WHERE layer = 1) SELECT g.iy, g.ix, round((g.ix % 5) / 4.0::double * coalesce(v, 0) + (1 - (g.ix % 5) / 4.0::double) * coalesce(value, 0), 6) AS value FROM g JOIN m USING (iy, ix)")
+def merge_layers(spark, d):
+    b = X.frame(spark, d, X.BOTTOMS).withColumn("value", F.col("bottom"))
+    w = cells(spark, d).select("iy", "ix", ((F.col("ix") % 5) / 4.0).alias("weight"))
+    return stacking.merge_layers(b.where("layer = 0"), b.where("layer = 1"), w).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH r AS ({X.REALS}) SELECT iy, ix, real, layer AS boundary, elevation FROM r UNION ALL SELECT iy, ix, real, 5, elevation - 50 FROM r WHERE layer = 4")
+def add_bottom(spark, d):
+    return stacking.add_bottom(reals(spark, d).withColumnRenamed("layer", "boundary"))
+
+
+@query(f"WITH b AS ({X.BOTTOMS}), s AS (SELECT iy, ix, layer + 1 AS boundary, real, elevation FROM ({X.REALS}) r UNION ALL SELECT iy, ix, 0, k, terrain FROM ({X.CELLS}) c CROSS JOIN (SELECT unnest(range(4))::int AS k)) SELECT iy, ix, real, boundary, min(elevation) OVER (PARTITION BY iy, ix, real ORDER BY boundary) AS elevation, elevation IS DISTINCT FROM min(elevation) OVER (PARTITION BY iy, ix, real ORDER BY boundary) AS moved FROM s")
+def stack_under_terrain(spark, d):
+    return stacking.stack_realizations(reals(spark, d), cells(spark, d).withColumn("value", F.col("terrain")))
+
+
+@query("SELECT k * 10.0::double / 199 AS laplacian, round(CASE WHEN k * 10.0::double / 199 < 2 THEN 0.1::double * (tanh((k * 10.0::double / 199 - 1) * 1.5) + 1) ELSE 0.3::double / (pow(k * 10.0::double / 199 - 2, 2) / 2 + 1) - 0.1 END + 0.05, 6) AS probability FROM (SELECT unnest(range(200)) AS k)")
+def inpox_transfer_curve(spark, d):
+    return points.transfer_curve(spark, _P).withColumn("probability", F.round("probability", 6))
+
+
+@query(f"WITH t AS (SELECT 'a' AS tile, iy, ix, layer, bottom AS value FROM ({X.BOTTOMS}) b UNION ALL SELECT 'b', iy, ix, layer, bottom + 1 FROM ({X.BOTTOMS}) b) SELECT iy + oy AS iy, ix + ox AS ix, layer, arg_max_null(value, tile) AS value FROM t JOIN (VALUES ('a', 0, 0), ('b', 20, 25)) o(tile, oy, ox) USING (tile) GROUP BY ALL")
+def tile_mosaic(spark, d):
+    b = X.frame(spark, d, X.BOTTOMS).select("iy", "ix", "layer", F.col("bottom").alias("value"))
+    t = b.withColumn("tile", F.lit("a")).unionByName(b.withColumn("tile", F.lit("b")).withColumn("value", F.col("value") + 1))
+    return grid.mosaic(t, spark.createDataFrame([("a", 0, 0), ("b", 20, 25)], "tile string, oy int, ox int"))
+
+
+@query(f"WITH p AS (SELECT layer, quality AS q, wid, x, y FROM ({X.WELLS}) w) SELECT layer, count(*) AS n, min(wid) AS wid FROM p GROUP BY layer")
+def layer_tables(spark, d):
+    w = X.frame(spark, d, X.WELLS)
+    cols = [F.col("x").alias("X"), F.col("y").alias("Y"), F.col("depth").alias("Z"), F.col("quality").alias("PointType"), F.col("wid").alias("SnapID")]
+    t = wells.union_layer_tables([w.where(f"layer = {k}").select(*cols) for k in range(3)])
+    return t.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.min("SnapID").alias("wid"))
+
+
+@query()
+def range_sill_clusters(spark, d):
+    e = X.frame(spark, d, X.ESTIMATES).where("range is not null and sill is not null").select(F.col("range"), F.col("sill"))
+    return clusters.cluster_range_sill(e, 4, seed=1).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def split_oversized(spark, d):
+    return clusters.split_oversized(cells(spark, d).select("iy", "ix", F.when(F.col("ix") < 14, 1).otherwise(2).alias("label")), 100)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

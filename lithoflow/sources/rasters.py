@@ -188,6 +188,41 @@ def export_realizations(model: DataFrame, meta: GridMeta, folder: str, names: li
     return sorted(out)
 
 
+def perturb_layer_boundaries(spark: SparkSession, folder: str, k: float = 1, method: str = "shift", output: str = "perturbed", layers: list[str] | None = None) -> list[str]:
+    """Perturbed copies of the surfaces ``<folder>/*.tif``; returns the files written.
+
+    ``shift`` lowers all surfaces but ``top_surface`` by ``k``; ``realization`` takes
+    those of ``<folder>/realization<k>``. The output folder is emptied first.
+    """
+    if method not in ("shift", "realization"):
+        raise ValueError(f"unknown method {method!r}; shift and realization are known")
+    source = folder.rstrip("/") if method == "shift" else f"{folder.rstrip('/')}/realization{int(k)}"
+    metas = {r["path"]: meta_of(r) for r in grid_metadata(spark, f"{source}/*.tif").collect()}
+    name = {p: p.rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in metas}
+    chosen = {p: n for p, n in name.items() if layers is None or n in layers}
+    if not chosen:
+        raise ValueError(f"no surfaces in {source}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(output)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    shift = float(k) if method == "shift" else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if path in chosen:
+                    z, m = codecs.read_geotiff(bytes(content))
+                    keep = np.isnan(z) if m.nodata is None else np.isnan(z) | (z == m.nodata)
+                    out.append((chosen[path], codecs.write_geotiff(np.where(keep | (chosen[path] == "top_surface"), z, z - shift), m, m.nodata)))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    files = []
+    for r in _files(spark, f"{source}/*.tif").mapInPandas(run, "name string, content binary").toLocalIterator():
+        files.append(f"{output.rstrip('/')}/{r['name']}.tif")
+        put_file(spark, files[-1], bytes(r["content"]))
+    return sorted(files)
+
+
 def check_aligned(metas: dict[str, GridMeta]) -> None:
     items = list(metas.items())
     for name, m in items[1:]:
