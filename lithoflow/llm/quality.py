@@ -171,17 +171,18 @@ def predict(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, id_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
     heads = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
+    n_heads = len(heads)
     src = docs.select(*heads, F.col(text_col).alias("_scored"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())])
 
     def run(batches):
         for b in batches:
             score, n = [], []
-            for _, _, data, off in chunks(b.column(len(heads))):
+            for _, _, data, off in chunks(b.column(n_heads)):
                 x, first = passage_features(data, off)
                 score.append(shared.value.score(x, first).astype(np.float64)), n.append(np.diff(first))
             if score:
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(heads)], pa.array(np.concatenate(score)), pa.array(np.concatenate(n).astype(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n_heads], pa.array(np.concatenate(score)), pa.array(np.concatenate(n).astype(np.int64))], names=schema.names)
 
     out = src.mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
