@@ -3,35 +3,31 @@
 A document is the set of its five-word shingles. Equal sets collapse to one class
 first. Each class has a row of minwise tokens; in each of several independent trees
 a node picks a few of these positions by hash, and a class goes to one child for
-each picked position, named by its token there. Nodes with one class end. Small
-nodes are compared exhaustively by their minwise rows, large ones branch on; what is
-still large at the last level (copies of one text) is compared with its smallest
-member, and goes on branching only while it holds more than one component, so that
-no link between components is lost. All links are confirmed on the full shingle
-sets of the whole texts.
+each picked position, named by its token there. A node whose classes are all of one
+component already ends. Small nodes are compared exhaustively by their minwise rows.
+A large node is compared with its smallest member, the pivot, and branches on in two
+parts: what may be linked with something close to the pivot, and what is not close.
+Jaccard distance is a metric, so the exact similarities to the pivot rule out members
+that cannot be linked with any other, and no link between components is lost by it.
+All links are confirmed on the full shingle sets of the whole texts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lithoflow.llm.bytesets import SPACE, chunks, grams, mix, prefix, spans, table, words
 from lithoflow.llm.graph import components
-from lithoflow.plans.tables import materialize
+from lithoflow.plans.tables import materialize, release
 
 SHINGLE = 5
 #: Similarity in per cent.
 SIMILAR = 75
 #: Minwise tokens of a class; trees; positions picked by a node; levels; classes in a node that is compared exhaustively.
-TOKENS, TREES, BRANCHES, LEVELS, SMALL = 96, 6, 2, 4, 24
-#: Further levels for large nodes that hold several components.
-MORE_LEVELS = 4
+TOKENS, TREES, BRANCHES, LEVELS, SMALL = 96, 6, 2, 3, 24
 #: Standard deviations below the threshold at which the minwise estimate rules a pair out.
 MARGIN = 4.5
 
@@ -124,38 +120,35 @@ def _small(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(e_out, pa.int64())], names=["a", "b", "est"])
 
 
-def _star(batches):
-    """Members of a large node and its smallest one."""
+def _estimate(batches):
+    """Every pair ``a, b`` with the number of equal tokens."""
     for b in batches:
         if b.num_rows:
-            same = (_matrix(b.column(2)) == _matrix(b.column(3))).sum(axis=1)
-            ok = pa.array(same >= _LEAST * TOKENS)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(same).filter(ok)], names=["a", "b", "est"])
+            same = (_matrix(b.column("sa")) == _matrix(b.column("sb"))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("node"), pa.array(same)], names=["a", "b", "node", "est"])
 
 
 def _confirm(batches):
+    """Sizes of intersection and union of the full sets."""
     for b in batches:
-        ok = []
+        both, union = [], []
         for x, y in zip(shingle_sets(b.column(2)), shingle_sets(b.column(3))):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both > 0 and 100 * both >= SIMILAR * (len(x) + len(y) - both))
-        if ok:
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            union.append(len(x) + len(y) - both[-1])
+        if both:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "joint"])
 
 
 _PAIR = "a long, b long, est long"
+_LINK = f"both > 0 and 100 * both >= {SIMILAR} * joint"
 
 
-def _survivors(kids: DataFrame, sigs: DataFrame, name: str, groups: DataFrame | None = None) -> DataFrame:
-    """``node, rep, grp, sig, size, least, least_sig`` in nodes of several classes (and groups)."""
-    rows = kids.distinct() if groups is None else kids.distinct().join(groups, "rep")
-    if groups is None:
-        rows = rows.withColumn("grp", F.col("rep"))
+def _mixed(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``node, rep, grp, size, least`` of the nodes that hold several components."""
+    rows = rows.select("rep", "node").distinct()
+    rows = rows.withColumn("grp", F.col("rep")) if groups is None else rows.join(groups, "rep")
     stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.min("grp").alias("_a"), F.max("grp").alias("_b"))
-    stats = stats.where("_a != _b").drop("_a", "_b")
-    live = materialize(rows.join(stats, "node"), f"near-nodes-{name}")
-    return materialize(live.join(sigs, "rep"), f"near-rows-{name}")
+    return rows.join(stats.where("_a != _b").drop("_a", "_b"), "node")
 
 
 def _leaf_pairs(rows: DataFrame) -> DataFrame:
@@ -167,6 +160,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def _parts(members: DataFrame, near: float) -> DataFrame:
+    """``rep, node`` of the two parts of large nodes, from ``node, rep, j, close``.
+
+    ``j`` is the exact similarity to the pivot or an upper bound, ``close`` says that
+    the pivot is linked. Linked pairs lie within ``near`` of each other. One with a
+    close member ``s`` has its other member no further than ``near`` + the distance
+    of ``s``; one without lies in the part that is not close.
+    """
+    d = F.lit(1.0) - F.col("j")
+    reach = members.groupBy("node").agg(F.max(F.when(F.col("close"), d)).alias("_s"), F.min(F.when(~F.col("close"), d)).alias("_o"))
+    rows = members.join(reach, "node").withColumn("_d", d)
+    eps = 1e-9
+    inner = rows.where(F.when(F.col("close"), F.col("_d") >= F.col("_o") - near - eps).otherwise(F.col("_d") <= F.col("_s") + near + eps))
+    outer = rows.where(~F.col("close"))
+    return inner.select("rep", F.xxhash64("node", F.lit(1)).alias("node")).unionByName(outer.select("rep", F.xxhash64("node", F.lit(2)).alias("node")))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -179,71 +189,81 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component and ``kept`` true. Other columns are ignored; an empty table gives an
     empty result.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = materialize(src.mapInArrow(_signatures, "doc_id long, n long, k1 long, k2 long, sig binary"), "near-signatures")
     real = sigs.where("doc_id is not null")
     classes = real.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("c"))
     classes = materialize(classes.select("n", "k1", "k2", F.col("c.doc_id").alias("rep"), F.col("c.sig").alias("sig")), "near-classes")
     tokens = classes.select("rep", "sig")
-    texts = None
+    texts = groups = met = comp = None
 
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
+    def confirm(pairs: DataFrame, name: str) -> None:
+        """Add the pairs with ``both`` and ``joint`` to those met, and what they link to the groups."""
+        nonlocal met, comp, groups
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        met = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-        return materialize(met.mapInArrow(_confirm, "a long, b long"), f"near-links-{name}")
-
-    found, large = [], None
-    kids = tokens.mapInArrow(_roots, "rep long, node long")
+        rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+        new = materialize(rows.mapInArrow(_confirm, "a long, b long, both long, joint long"), f"near-met-{name}")
+        release(spark)
+        met = new if met is None else met.unionByName(new)
+        if groups is not None and between(new.where(_LINK)).isEmpty():
+            return
+        comp = materialize(components(met.where(_LINK)), f"near-components-{name}")
+        g = tokens.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("grp"))
+        groups = materialize(g, f"near-groups-{name}")
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Those whose two classes are of different groups so far."""
+        side = lambda c: groups.select(F.col("rep").alias(c), F.col("grp").alias(f"g{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where("ga != gb").select("a", "b")
+
+    rows = tokens.mapInArrow(_roots, "rep long, node long")
     for level in range(1, LEVELS + 1):
-        rows = _survivors(kids, tokens, str(level))
-        found.append(_leaf_pairs(rows.where(F.col("size") <= SMALL)))
-        large = rows.where(F.col("size") > SMALL)
-        kids = large.select("rep", "node", "sig").mapInArrow(_children, "rep long, node long")
-    heads = tokens.select(F.col("rep").alias("least"), F.col("sig").alias("least_sig"))
-    stars = large.where("rep != least").join(heads, "least").select("least", "rep", "least_sig", "sig")
-    found.append(stars.mapInArrow(_star, _PAIR))
-    pairs = materialize(_ordered(reduce(DataFrame.unionByName, found)), "near-pairs")
-    need = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
-    reps = src.where("doc_id is not null").dropDuplicates(["doc_id"]) if False else src
-    texts = materialize(reps.join(need, F.col("doc_id") == F.col("_n"), "left_semi"), "near-texts")
-    # each class with its most similar partner first: mostly enough to connect a group
-    best = pairs.select(F.col("a").alias("x"), "a", "b", "est").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "est"))
-    best = best.groupBy("x").agg(F.max(F.struct("est", -F.col("a"), -F.col("b"), "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = confirm(best, "best")
-    comp = components(links)
-    grp = tokens.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("grp"))
-    grp = materialize(grp, "near-groups-1")
-    across = pairs.join(best, ["a", "b"], "left_anti").join(grp.select(F.col("rep").alias("a"), F.col("grp").alias("ga")), "a").join(grp.select(F.col("rep").alias("b"), F.col("grp").alias("gb")), "b")
-    links = links.unionByName(confirm(across.where("ga != gb"), "across"))
-
-    # large nodes that still hold several components branch on
-    comp = components(links)
-    grp = tokens.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("grp"))
-    grp = materialize(grp, "near-groups-2")
-    mixed = large.drop("grp", "size", "least").join(grp, "rep")
-    several = mixed.groupBy("node").agg(F.min("grp").alias("_a"), F.max("grp").alias("_b")).where("_a != _b").select("node")
-    rows = materialize(mixed.join(several, "node"), "near-mixed")
-    found = []
-    for level in range(MORE_LEVELS):
-        if rows.isEmpty():
+        live = materialize(_mixed(rows, groups), f"near-nodes-{level}")
+        if live.isEmpty():
             break
-        kids = rows.select("rep", "node", "sig").mapInArrow(_children, "rep long, node long")
-        rows = _survivors(kids, tokens, f"more-{level}", grp)
-        found.append(_leaf_pairs(rows.where(F.col("size") <= SMALL)))
-        rows = rows.where(F.col("size") > SMALL)
-    if found and not rows.isEmpty():
+        if texts is None:
+            need = live.select(F.col("rep").alias("_n")).distinct()
+            texts = materialize(src.join(need, F.col("doc_id") == F.col("_n"), "left_semi"), "near-texts")
+        signed = live.join(tokens, "rep")
+        small = _leaf_pairs(signed.where(F.col("size") <= SMALL).select("node", "rep", "grp", "sig"))
+        heads = tokens.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
+        large = signed.where((F.col("size") > SMALL) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"), "node", F.col("sig").alias("sb"))
+        star = materialize(large.join(heads, "a").mapInArrow(_estimate, "a long, b long, node long, est long"), f"near-star-{level}")
+        pivots = _ordered(star.where(F.col("est") >= _LEAST * TOKENS))
+        pairs = _ordered(small)
+        if met is not None:
+            pairs, pivots = (x.join(met.select("a", "b"), ["a", "b"], "left_anti") for x in (pairs, pivots))
+        pairs = materialize(pairs, f"near-pairs-{level}")
+        if level == 1:
+            # each class with its most similar partner first: mostly enough to connect a group
+            best = pairs.select(F.col("a").alias("x"), "a", "b", "est").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "est"))
+            best = best.groupBy("x").agg(F.max(F.struct("est", -F.col("a"), -F.col("b"), "a", "b")).alias("m")).select("m.a", "m.b")
+            confirm(best.unionByName(pivots.select("a", "b")).distinct(), "1")
+            pivots = pivots.where("false")
+        left = between(pairs.select("a", "b").unionByName(pivots.select("a", "b"))).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+        # similarities to the pivot are wanted too where a pair is of one group already
+        confirm(materialize(left.unionByName(pivots.select("a", "b")).distinct(), f"near-left-{level}"), f"{level}-left")
+        exact = met.select("a", "b", (F.col("both") / F.col("joint")).alias("_j"), F.expr(_LINK).alias("_l"))
+        members = star.join(exact, ["a", "b"], "left").select(
+            "node", F.col("b").alias("rep"), F.coalesce("_j", F.least(F.lit(1.0), F.col("est") / TOKENS + F.lit(SIMILAR / 100 - _LEAST))).alias("j"), F.coalesce("_l", F.lit(False)).alias("close"),
+        )
+        pivot = star.select("node", F.col("a").alias("rep"), F.lit(1.0).alias("j"), F.lit(True).alias("close")).distinct()
+        parts = materialize(_mixed(_parts(members.unionByName(pivot), 1 - SIMILAR / 100), groups), f"near-parts-{level}")
+        rows = parts.select("rep", "node").join(tokens, "rep").select("rep", "node", "sig").mapInArrow(_children, "rep long, node long")
+    else:
         # the exact way for the rest: members outside a node's largest component against the others of the node
-        by = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m")).select("node", F.col("m.grp").alias("main"))
-        odd = rows.join(by, "node").where("grp != main").select("node", F.col("rep").alias("b"), F.col("grp").alias("gb"), F.col("sig").alias("sb"))
-        rest = rows.select("node", F.col("rep").alias("a"), F.col("grp").alias("ga"), F.col("sig").alias("sa")).join(odd, "node").where("ga != gb").select("a", "b", "sa", "sb")
-        found.append(rest.mapInArrow(_star, _PAIR))
-    if found:
-        more = materialize(_ordered(reduce(DataFrame.unionByName, found)).join(pairs, ["a", "b"], "left_anti"), "near-pairs-more")
-        need = more.select(F.col("a").alias("_n")).unionByName(more.select(F.col("b").alias("_n"))).distinct()
-        texts = materialize(src.join(need, F.col("doc_id") == F.col("_n"), "left_semi"), "near-texts-more")
-        links = links.unionByName(confirm(more, "more"))
-        comp = components(links)
+        if not parts.isEmpty():
+            by = parts.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m")).select("node", F.col("m.grp").alias("main"))
+            odd = parts.join(by, "node").where("grp != main").select("node", F.col("rep").alias("b"), F.col("grp").alias("gb"))
+            rest = parts.select("node", F.col("rep").alias("a"), F.col("grp").alias("ga")).join(odd, "node").where("ga != gb")
+            rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+            rest = rest.join(tokens.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").withColumn("node", F.lit(0).cast("long"))
+            rest = rest.mapInArrow(_estimate, "a long, b long, node long, est long").where(F.col("est") >= _LEAST * TOKENS)
+            confirm(materialize(rest.select("a", "b"), "near-rest"), "rest")
+    if comp is None:
+        comp = spark.createDataFrame([], "node long, component long")
 
     out = sigs.drop("sig").join(classes.drop("sig"), ["n", "k1", "k2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
