@@ -78,7 +78,8 @@ def _grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
 
-_CONTEXT = "key long, h long, c long, doc long, start int, len int, shift int, gone boolean"
+#: ``key`` is the anchor's hash, or an arbitrary one for what is gone.
+_CONTEXT = "key long, c long, doc long, start int, len int, gone boolean"
 
 
 def _contexts(batches):
@@ -86,15 +87,15 @@ def _contexts(batches):
     for b in batches:
         ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
         for i, _, data, off in chunks(b.column(1)):
-            text, start, count, at, h, c = anchors(data, off)
+            text, start, count, _, h, c = anchors(data, off)
             doc = ids[i + text]
             order = np.lexsort((start, doc, c, h))
-            text, start, count, at, h, c, doc = (x[order] for x in (text, start, count, at, h, c, doc))
+            start, count, h, c, doc = (x[order] for x in (start, count, h, c, doc))
             gone = np.zeros(len(h), bool)
             gone[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             key = np.where(gone, mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), h)
             i32 = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), i32(start), i32(count), i32(at - start), pa.array(gone)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), i32(start), i32(count), pa.array(gone)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, place: np.ndarray, match: int = MATCH) -> np.ndarray:
@@ -238,11 +239,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = keyed.mapInArrow(_grams, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("key"), F.lit(True).alias("twice"))
     again = materialize(again, "repeats-anchors")
     release(spark)
-    rows = keyed.mapInArrow(_contexts, _CONTEXT).join(again, "key", "left").where("gone or twice").drop("key", "twice")
+    rows = keyed.mapInArrow(_contexts, _CONTEXT).join(again, "key", "left").where("gone or twice").withColumnRenamed("key", "h").drop("twice")
     rows = materialize(rows, "repeats-contexts")
     release(spark)
     live = rows.where("not gone")
-    first = live.groupBy("h", "c").agg(F.min(F.struct("doc", "start", "len", "shift")).alias("f"))
+    first = live.groupBy("h", "c").agg(F.min(F.struct("doc", "start", "len")).alias("f"))
     first = materialize(first.select("h", "c", "f.*"), "repeats-first")
     gone = rows.where("gone").select("doc", "start", "len")
     f = first.select("h", "c", F.col("doc").alias("_d"), F.col("start").alias("_s"))
