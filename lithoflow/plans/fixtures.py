@@ -23,7 +23,7 @@ select o_orderkey as pid,
   case when o_orderkey % 7 = 0 then null else cast((o_orderkey % 90) + 10 as double) end as doi,
   case when o_orderpriority like '1%' then cast(1 as double) else cast(0 as double) end as mep_type,
   cast(year(o_orderdate) as int) as yr
-from orders where o_orderkey % 10 = 0"""
+from orders"""
 ATTRIBUTES = f"""
 select pid, cast(l.r_regionkey as int) as layer, depth + 10 * l.r_regionkey as depth, thick + l.r_regionkey as thick, doi, mep_type
 from ({POINTS}) p cross join region l where l.r_regionkey < {LAYERS}"""
