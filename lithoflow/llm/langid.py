@@ -5,9 +5,9 @@ n-grams. Languages that do not use the word's script are no candidates. Viterbi
 one penalty for each switch labels the words, so a text of several languages falls
 into spans; the language with the most letters is the prediction.
 
-Where one language is best for the whole text and no stretch of words gains as much
-as a switch costs, its constant path is the Viterbi path and the step-by-step search
-is not run.
+Where one language is best for the whole text, no stretch of words gains as much as a
+switch costs, and no beginning and end together do, its constant path is the Viterbi
+path and the step-by-step search is not run.
 """
 
 from __future__ import annotations
@@ -100,8 +100,10 @@ def viterbi(e: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         return np.zeros(0, np.int64)
     best = int(e.sum(axis=0).argmax())
     gain = np.cumsum(e - e[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, e.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() < switch:
+    before = np.vstack([np.zeros((1, e.shape[1])), gain[:-1]])
+    low = np.minimum.accumulate(before, axis=0)
+    # a path without ``best`` has a switch less than segments: its first and last must make up for one between them
+    if (gain - low).max() < switch and gain.max() + (gain[-1] - before).max() < switch:
         return np.full(t, best)
     stay = np.empty(e.shape, bool)
     top = np.empty(t, np.int64)
