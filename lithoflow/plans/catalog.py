@@ -456,10 +456,10 @@ def blend_windows(spark, d):
 _V = geostat.parse_variogram("2.5 Sph(400) + 1.5 Gau(700) + 0.5 Exp(300)")
 
 
-@query(f"""WITH c AS (SELECT * FROM ({X.CELLS}) c WHERE iy < 5 AND ix < 5), p AS (SELECT a.iy * 25 + a.ix AS a, b.iy * 25 + b.ix AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM c a CROSS JOIN c b)
+@query(f"""WITH c AS ({X.CELLS}), p AS (SELECT a.iy * 25 + a.ix AS a, b.iy * 25 + b.ix AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM c a CROSS JOIN c b)
 SELECT a, b, round(4.5 - (2.5 * CASE WHEN d < 400 THEN 1.5 * d / 400 - 0.5 * pow(d / 400, 3) ELSE 1 END + 1.5 * (1 - exp(-3 * d * d / 490000)) + 0.5 * (1 - exp(-3 * d / 300))), 6) AS covariance FROM p""")
 def pairwise_covariance(spark, d):
-    c = cells(spark, d).where("iy < 5 and ix < 5").select((F.col("iy") * 25 + F.col("ix")).alias("k"), "x", "y")
+    c = cells(spark, d).select((F.col("iy") * 25 + F.col("ix")).alias("k"), "x", "y")
     p = c.select(F.col("k").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")).crossJoin(F.broadcast(c.select(F.col("k").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))))
     dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
     return p.select("a", "b", F.round(geostat.covariance_column(_V, F.sqrt(dx * dx + dy * dy)), 6).alias("covariance"))
