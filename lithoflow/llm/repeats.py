@@ -1,4 +1,4 @@
-"""Suffix-array dedup: removal of passages that occur earlier, by longest-previous-factor arrays.
+"""Suffix dedup: removal of passages that occur earlier, by grouping equal strings.
 
 A byte goes if a ``MATCH``-byte string over it also starts earlier (smaller id, or
 same document and smaller start). A string goes with its anchor, the smallest of its
@@ -8,9 +8,10 @@ suffixes around equal anchors must be sorted together. In four steps:
 1. anchors that occur once in the corpus are set aside;
 2. consecutive strings with one anchor form a context; of equal contexts the first
    keeps its strings, all others lose them (hashes of 128 bits over the whole context);
-3. anchors with several different contexts: the suffixes of these contexts are sorted
-   (prefix doubling) and the longest-previous-factor test is taken from the previous
-   and next smaller positions in suffix order. An anchor with very many contexts (a
+3. anchors with several different contexts: the strings of these contexts are ranked
+   by prefix doubling and of each rank the first position stays; the longest previous
+   factor reaches ``MATCH`` at the others, so no array of it is built. An anchor with
+   very many contexts (a
    phrase of the whole corpus) takes its strings one by one to the tasks of their own
    hash, where the first is found by an aggregate;
 4. the bytes under the strings that go are cut out of each text.
@@ -101,10 +102,10 @@ def _contexts(batches):
 def repeated(data: np.ndarray, starts: np.ndarray, place: np.ndarray, match: int = MATCH) -> np.ndarray:
     """For each suffix in ``starts`` whether its longest previous factor reaches ``match``.
 
-    ``place`` orders the suffixes by position. Prefix doubling sorts all suffixes to
-    depth ``match``; suffixes that agree so far are neighbours in suffix order, and
-    one of them has a previous or next smaller position among them, that is a
-    longest previous factor of ``match`` or more, unless it has the smallest.
+    ``place`` orders the suffixes by position. Prefix doubling ranks all suffixes to
+    depth ``match``; of those that agree so far, all but the one with the smallest
+    position have an equal string before them, that is a longest previous factor of
+    ``match`` or more.
     """
     n = len(data)
     pad = np.concatenate([data, np.zeros(2 * match + 16, np.uint8)])
