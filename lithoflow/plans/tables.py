@@ -1,8 +1,8 @@
 """Written tables that cut lineage, in the folder that all executors share.
 
-``spark.checkpoint.dir`` names the folder. Only where it is unset (tests, a
-laptop) a folder beside the warehouse is used. A table is Parquet, so a lost
-executor costs no recomputation of what was written.
+``spark.checkpoint.dir`` names the folder. Where it is unset a folder beside the
+warehouse is used, in local mode only; a cluster must name one. A table is Parquet,
+so a lost executor costs no recomputation of what was written.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -69,9 +71,44 @@ def null_safe(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice that shuffles of finished jobs are garbage, so that executors delete their files."""
-    import gc
+class Scratch:
+    """Written tables of one operator call; :meth:`clear` deletes those that the result does not read."""
 
-    gc.collect()
-    spark._jvm.System.gc()
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = write_shared(df, name)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove_shared(self.spark, path)
+        self.paths = []
+
+
+#: A key with more than one row in this many is joined by broadcast; so that many keys at most are sent.
+HOT_PART = 512
+
+
+def join_skewed(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` on ``key`` (unique in ``side``), however uneven the key is.
+
+    ``count`` of ``side`` holds the number of rows with the key, of ``total`` in all.
+    Keys with more than a 512th of the rows, fewer than 512 of them by definition,
+    are sent to all tasks; their rows are dealt evenly and meet no partner in the
+    shuffled join that serves the others. ``how`` is ``inner`` or ``left``.
+    """
+    other = [c for c in side.columns if c != key]
+    value = F.struct(*other)
+    is_hot = F.col(count) * F.lit(HOT_PART) > F.lit(total)
+    hot = side.where(is_hot).select(F.col(key).alias("_hot_key"), value.alias("_hot"))
+    cold = side.where(~is_hot).select(F.col(key).alias("_cold_key"), F.xxhash64(key).alias("_cold_deal"), value.alias("_cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    deal = F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(key))
+    joined = marked.withColumn("_deal", deal).join(cold, (F.col("_deal") == F.col("_cold_deal")) & (F.col(key) == F.col("_cold_key")), "left")
+    found = F.coalesce("_hot", "_cold")
+    if how == "inner":
+        joined = joined.where(found.isNotNull())
+    return joined.select(*rows.columns, *(found[c].alias(c) for c in other))
