@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in one NumPy pass.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -102,3 +102,41 @@ def grams(w: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         acc = acc * np.uint64(0xA24BAED4963EE407) + w[j : j + m]
     return mix(acc)
+
+
+_PLAIN, _FOLDED = table(5), table(5, fold_case=True)
+
+
+def _pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in pieces of about ``most`` bytes that end after white space; only a longer word makes one longer."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + most)
+        while b < len(data):
+            gap = np.flatnonzero(SPACE[data[b : b + 4096]])
+            if len(gap):
+                b += int(gap[0]) + 1
+                break
+            b = min(len(data), b + 4096)
+        yield data[a:b]
+        a = b
+
+
+def word_runs(column: pa.Array, fold_case: bool = False, most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``word hashes, range of each text`` of runs of whole texts; words are runs of bytes other than white space.
+
+    One text may be longer than ``most``; it is hashed in pieces, so that it takes eight bytes a word
+    and not several times its own size.
+    """
+    values = _FOLDED if fold_case else _PLAIN
+    for _, _, data, off in chunks(column, most):
+        if len(data) <= 2 * most:
+            lo, hi, at = words(data, off, ~SPACE)
+            yield spans(prefix(data, values), lo, hi), at
+            continue
+        parts = []
+        for piece in _pieces(data, most):
+            lo, hi, _ = words(piece, np.array([0, len(piece)]), ~SPACE)
+            parts.append(spans(prefix(piece, values), lo, hi))
+        w = np.concatenate(parts)
+        yield w, np.array([0, len(w)])

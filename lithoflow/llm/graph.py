@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoflow.plans.tables import remove_shared, write_shared
+from lithoflow.plans.tables import Scratch, join_skewed, remove_shared, write_shared
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node reachable, for every node of ``edges`` (``a, b``).
 
     Alternates large-star and small-star: each step links the neighbours of a node
     to the smallest of them, so stars form in a logarithmic number of steps and no
-    neighbourhood is gathered anywhere. Self-loops and repeated edges are fine.
+    neighbourhood is gathered anywhere; nodes with very many neighbours are joined
+    by broadcast. Self-loops and repeated edges are fine. The result is written
+    under ``scratch``.
     """
     spark = edges.sparkSession
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur, path = write_shared(pairs, "components-0")
-    seen = None
+    total, seen = cur.count(), None
     for k in range(rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("_u")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, path_l = write_shared(large.where("u != v").distinct(), f"components-{k}l")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
+        large = join_skewed(both, low, "u", "deg", 2 * total).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, path_l = write_shared(large.distinct(), f"components-{k}l")
         # now every edge leads from u to a smaller v
-        low = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
-        joined = large.join(low, F.col("u") == F.col("_u"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("_u").alias("u"), F.col("m").alias("v")))
-        small, path_s = write_shared(small.where("u != v").distinct(), f"components-{k}s")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
+        joined = join_skewed(large, low, "u", "deg", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = joined.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        small, path_s = write_shared(small, f"components-{k}s")
         remove_shared(spark, path), remove_shared(spark, path_l)
         cur, path = small, path_s
-        state = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
+        total, mark = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if (total, mark) == seen:
+            scratch.paths.append(path)
             roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        seen = state
+        seen = (total, mark)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,15 +1,25 @@
 """Near-duplicate groups: chosen-path set similarity join over word shingles.
 
 A document is the set of its five-word shingles. Equal sets collapse to one class
-first. Each class has a row of minwise tokens; in each of several independent trees
-a node picks a few of these positions by hash, and a class goes to one child for
-each picked position, named by its token there. A node whose classes are all of one
-component already ends. Small nodes are compared exhaustively by their minwise rows.
-A large node is compared with its smallest member, the pivot, and branches on in two
-parts: what may be linked with something close to the pivot, and what is not close.
-Jaccard distance is a metric, so the exact similarities to the pivot rule out members
-that cannot be linked with any other, and no link between components is lost by it.
-All links are confirmed on the full shingle sets of the whole texts.
+first. Each class has a row of minwise tokens. In each of several independent trees a
+node picks two positions of that row by its own name, and a class goes to one child
+for each of them, named by the token it has there; the first two picks are made at
+once, so a root's grandchildren are the first nodes that are looked at. A node whose
+classes are all of one component ends.
+
+Small nodes are compared exhaustively on the full sets: shared shingles are counted
+by a product of incidence matrices, so a node yields components and no pairs. The
+members of a large node are dealt into blocks that are compared in the same way, each
+together with a few pivots of the node: this joins dense groups at once, which
+branching alone would copy down every path. Jaccard distance is a metric, so the exact
+similarities to the pivots rule out members that cannot be linked with anything outside
+the node's largest component. What is left branches on, or, where only a bounded number
+of members is outside that component, these meet all others in blocks and the node ends.
+The first tree runs alone, the others with its components known.
+
+A link at the threshold survives one tree with probability of about 0.9, so ``TREES``
+of them miss it with less than 1 in 5000; links above it and groups of several links
+are safer still. What is called a link is always confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -18,163 +28,353 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lithoflow.llm.bytesets import SPACE, chunks, grams, mix, prefix, spans, table, words
+from lithoflow.llm.bytesets import grams, mix, word_runs
 from lithoflow.llm.graph import components
-from lithoflow.plans.tables import materialize, release
+from lithoflow.plans.tables import Scratch, join_skewed, materialize
 
 SHINGLE = 5
 #: Similarity in per cent.
 SIMILAR = 75
-#: Minwise tokens of a class; trees; positions picked by a node; levels; classes in a node that is compared exhaustively.
-TOKENS, TREES, BRANCHES, LEVELS, SMALL = 96, 6, 2, 3, 24
-#: Standard deviations below the threshold at which the minwise estimate rules a pair out.
-MARGIN = 4.5
+#: Minwise tokens of a class; trees.
+TOKENS, TREES = 64, 4
+#: Classes and shingles of a node that is compared exhaustively (two classes always are); pivots of a larger one.
+LEAF, WEIGHT, PIVOTS = 256, 4 << 20, 4
+#: A large node with no more members outside its largest component compares these with all others and ends.
+ODD = 1024
+#: Levels below the first nodes; what is large and mixed even there is compared block by block.
+LEVELS = 16
 
-_TABLE = table(5, fold_case=True)
 _MUL = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
+_STEP = 1 << 16
+
+
+def shingled(column: pa.Array, k: int = SHINGLE):
+    """Runs of texts as ``shingle hashes, offsets``; a text of fewer than ``k`` words has one, without words none."""
+    for w, at in word_runs(column, fold_case=True):
+        n = np.diff(at)
+        short = (n > 0) & (n < k)
+        many = np.where(n >= k, n - k + 1, short)
+        off = np.concatenate([[0], np.cumsum(many)])
+        text = np.repeat(np.arange(len(n)), n)[: max(0, len(w) - k + 1)]
+        whole = grams(w, k)[np.arange(len(text)) + k <= at[text + 1]]
+        if short.any():
+            out = np.empty(off[-1], np.uint64)
+            lone = off[:-1][short]
+            out[lone] = [grams(w[a:b], int(b - a))[0] for a, b in zip(at[:-1][short], at[1:][short])]
+            rest = np.ones(len(out), bool)
+            rest[lone] = False
+            out[rest] = whole
+            whole = out
+        yield whole, off
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE):
-    """The sorted distinct shingle hashes of each text; a text of fewer than ``k`` words has one, without words none."""
-    for _, _, data, off in chunks(column):
-        lo, hi, at = words(data, off, ~SPACE)
-        w = spans(prefix(data, _TABLE), lo, hi)
-        g = grams(w, k)
-        for a, b in zip(at[:-1], at[1:]):
-            if b - a >= k:
-                yield np.unique(g[a : b - k + 1])
-            elif b > a:
-                yield grams(w[a:b], int(b - a))
-            else:
-                yield g[:0]
-
-
-def minwise(s: np.ndarray) -> np.ndarray:
-    """Per position the smallest of one multiply-add hash over the set, as 32 bits."""
-    out = np.empty(TOKENS, np.uint64)
-    for k in range(0, len(s), 1 << 14):
-        part = s[k : k + (1 << 14)]
-        low = np.array([(part * m + c).min() for m, c in zip(_MUL, _ADD)], np.uint64)
-        out = low if not k else np.minimum(out, low)
-    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+    """The sorted distinct shingle hashes of each text."""
+    for g, off in shingled(column, k):
+        for a, b in zip(off[:-1], off[1:]):
+            yield np.unique(g[a:b])
 
 
-def _signatures(batches):
-    for b in batches:
-        n, k1, k2, sig = [], [], [], []
-        for s in shingle_sets(b.column(1)):
-            n.append(len(s))
-            m = mix(s ^ np.uint64(0xABCDEF)) if len(s) else s
-            k1.append(np.add.reduce(m).view(np.int64)), k2.append(np.bitwise_xor.reduce(s).view(np.int64) if len(s) else 0)
-            sig.append(minwise(s).tobytes() if len(s) else b"")
-        if n:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
+def minwise(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each run ``off[i]:off[i + 1]``, per position the smallest of one multiply-add hash, as 32 bits."""
+    n = len(off) - 1
+    out = np.full((TOKENS, n), np.uint64(2**64 - 1))
+    for s in range(0, len(g), _STEP):
+        e = min(len(g), s + _STEP)
+        first, last = np.searchsorted(off, s, "right") - 1, np.searchsorted(off, e, "left")
+        lo, hi = np.maximum(off[first:last], s), np.minimum(off[first + 1 : last + 1], e)
+        full = hi > lo
+        runs, starts = np.arange(first, last)[full], lo[full] - s
+        part = g[s:e]
+        for k in range(TOKENS):
+            out[k, runs] = np.minimum(out[k, runs], np.minimum.reduceat(part * _MUL[k] + _ADD[k], starts))
+    return (mix(out.T) >> np.uint64(32)).astype(np.uint32)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
+def _digest(s: np.ndarray) -> tuple[int, int, int]:
+    if not len(s):
+        return 0, 0, 0
+    return len(s), int(np.add.reduce(mix(s ^ np.uint64(0xABCDEF))).view(np.int64)), int(np.bitwise_xor.reduce(s).view(np.int64))
 
 
-def _children(batches):
-    """``rep, node, sig`` to ``rep, node`` of the children; a node picks its positions from its own name."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rep, node, sig = b.column(0), np.array(b.column(1).to_numpy(zero_copy_only=False)).view(np.uint64), _matrix(b.column(2))
-        rows = np.arange(len(sig))
-        reps, kids = [], []
-        for j in range(BRANCHES):
-            pick = (mix(node + np.uint64(0x5851F42D4C957F2D * (j + 1) & (2**64 - 1))) >> np.uint64(20)) % np.uint64(TOKENS)
-            token = sig[rows, pick.astype(np.int64)].astype(np.uint64)
-            reps.append(rep), kids.append(mix(mix(node ^ (pick << np.uint64(7))) + token).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(reps), pa.array(np.concatenate(kids))], names=["rep", "node"])
+_KEY = T.StructType([T.StructField(c, T.LongType(), False) for c in ("n", "k1", "k2")])
 
 
-def _roots(batches):
-    for b in batches:
-        if b.num_rows:
-            n = b.num_rows
-            roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(77)).view(np.int64)
-            sig = b.column(1)
-            for x in _children(pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, r)), sig], names=["rep", "node", "sig"]) for r in roots):
-                yield x
-
+def _key_array(keys) -> pa.Array:
+    cols = list(zip(*keys)) or [()] * 3
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=[pa.field(c, pa.int64(), False) for c in ("n", "k1", "k2")])
 
-_LEAST = SIMILAR / 100 - MARGIN * (0.01 * SIMILAR * (1 - 0.01 * SIMILAR) / TOKENS) ** 0.5
 
-
-def _small(batches):
-    """Exhaustive comparison inside small nodes: pairs that the estimate does not rule out, of different groups."""
-    for b in batches:
-        a_out, b_out, e_out = [], [], []
-        for node in b.column(0).to_pylist():
-            sig = np.frombuffer(b"".join(x["sig"] for x in node), np.uint32).reshape(-1, TOKENS)
-            same = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
-            grp = np.array([x["grp"] for x in node])
-            i, j = np.nonzero(np.triu(same >= _LEAST * TOKENS, 1) & (grp[:, None] != grp[None, :]))
-            a_out += [node[x]["rep"] for x in i]
-            b_out += [node[x]["rep"] for x in j]
-            e_out += same[i, j].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(e_out, pa.int64())], names=["a", "b", "est"])
-
-
-def _estimate(batches):
-    """Every pair ``a, b`` with the number of equal tokens."""
+def _signatures(batches):
     for b in batches:
-        if b.num_rows:
-            same = (_matrix(b.column("sa")) == _matrix(b.column("sb"))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("node"), pa.array(same)], names=["a", "b", "node", "est"])
+        k = 0
+        for g, off in shingled(b.column(1)):
+            sig = minwise(g, off)
+            keys = [_digest(np.unique(g[x:y])) for x, y in zip(off[:-1], off[1:])]
+            rows = [s.tobytes() if key[0] else b"" for s, key in zip(sig, keys)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(k, len(keys)), _key_array(keys), pa.array(rows, pa.binary())], names=["doc_id", "key", "sig"])
+            k += len(keys)
 
 
-def _confirm(batches):
-    """Sizes of intersection and union of the full sets."""
+def _sets(batches):
+    """``cls, key, text`` to ``cls, set`` of the rows whose text has that key."""
     for b in batches:
-        both, union = [], []
-        for x, y in zip(shingle_sets(b.column(2)), shingle_sets(b.column(3))):
-            both.append(len(np.intersect1d(x, y, assume_unique=True)))
-            union.append(len(x) + len(y) - both[-1])
-        if both:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "joint"])
-
-
-_PAIR = "a long, b long, est long"
-_LINK = f"both > 0 and 100 * both >= {SIMILAR} * joint"
+        cls, want = b.column(0).to_pylist(), b.column(1).to_pylist()
+        k = 0
+        for g, off in shingled(b.column(2)):
+            out = []
+            for x, y in zip(off[:-1], off[1:]):
+                s = np.unique(g[x:y])
+                if _digest(s) == tuple(want[k].values()):
+                    out.append((cls[k], s.tobytes()))
+                k += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["cls", "set"])
+
+
+def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
+    """Names of the two children that each class goes to."""
+    h = mix(node ^ np.uint64(0x5851F42D4C957F2D))
+    first = (h >> np.uint64(20)) % np.uint64(TOKENS)
+    second = (first + np.uint64(1) + (h >> np.uint64(40)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
+    rows, out = np.arange(len(sig)), []
+    for pick in (first, second):
+        token = sig[rows, pick.astype(np.int64)].astype(np.uint64)
+        out.append(mix(mix(node ^ ((pick + np.uint64(1)) << np.uint64(7))) + token))
+    return out
 
 
-def _mixed(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``node, rep, grp, size, least`` of the nodes that hold several components."""
-    rows = rows.select("rep", "node").distinct()
-    rows = rows.withColumn("grp", F.col("rep")) if groups is None else rows.join(groups, "rep")
-    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.min("grp").alias("_a"), F.max("grp").alias("_b"))
-    return rows.join(stats.where("_a != _b").drop("_a", "_b"), "node")
-
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
-def _leaf_pairs(rows: DataFrame) -> DataFrame:
-    packed = rows.groupBy("node").agg(F.collect_list(F.struct("rep", "grp", "sig")).alias("m")).select("m")
-    return packed.mapInArrow(_small, _PAIR)
 
+def _roots(batches):
+    """``cls, sig`` to ``cls, tree, node``: two picks below the root of each tree."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig = _matrix(b.column(1))
+        for tree in range(TREES):
+            root = mix(np.full(len(sig), tree + 1, np.uint64) * np.uint64(77))
+            nodes = [y for x in _children(root, sig) for y in _children(x, sig)]
+            n = len(nodes)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0)] * n), pa.array(np.full(n * len(sig), tree, np.int32)), pa.array(np.concatenate(nodes).view(np.int64))], names=["cls", "tree", "node"])
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").groupBy("a", "b").agg(F.max("est").alias("est"))
 
+def _branch(batches):
+    """``cls, node, sig`` to ``cls, node`` of the children."""
+    for b in batches:
+        if b.num_rows:
+            node = np.array(b.column(1).to_numpy(zero_copy_only=False)).view(np.uint64)
+            kids = _children(node, _matrix(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0)] * 2), pa.array(np.concatenate(kids).view(np.int64))], names=["cls", "node"])
+
+
+def shared_counts(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of incidence matrices."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float64)
+    value, row = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
+    col = np.cumsum(new) - 1
+    often = np.bincount(col, minlength=1)[col] > 1 if len(col) else new
+    row, col = row[often], col[often]
+    col = np.unique(col, return_inverse=True)[1]
+    step = max(64, most // (4 * m))
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        a, b = np.searchsorted(col, [c, c + step])
+        block = np.zeros((m, step), np.float32)
+        block[row[a:b], col[a:b] - c] = 1
+        out += block @ block.T
+    return out
+
+
+def _merged(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the smallest row that it reaches."""
+    m = len(link)
+    label = np.arange(m)
+    link = link | np.eye(m, dtype=bool)
+    while True:
+        low = np.where(link, label[None, :], m).min(axis=1)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+_FOUND = "a long, b long, node long, cls long, js array<double>"
+
+
+def _compare(batches):
+    """Rows ``node, block, cls, grp, pivot, set`` in order of node and block; ``pivot`` is -1 for a plain member of a
+    large node, -2 in a small one.
+
+    Gives ``a, b``, groups that links of full sets join, and for members of large nodes their similarities to the pivots.
+    """
 
-def _parts(members: DataFrame, near: float) -> DataFrame:
-    """``rep, node`` of the two parts of large nodes, from ``node, rep, j, close``.
+    def solve(cls, grp, pivot, sets):
+        at = {}
+        for k, c in enumerate(cls):  # a class that is both member and pivot, or repeated
+            at.setdefault(c, k)
+        pick = np.fromiter(at.values(), np.int64, len(at))
+        s = [np.frombuffer(sets[k], np.uint64) for k in pick]
+        size = np.array([len(x) for x in s], np.float64)
+        both = shared_counts(s)
+        union = size[:, None] + size[None, :] - both
+        g = np.array([grp[k] for k in pick])
+        link = (both > 0) & (100 * both >= SIMILAR * union)
+        root = g[_merged(link | (g[:, None] == g[None, :]))]
+        joined = {(int(x), int(y)) for x, y in zip(g, root) if x != y}
+        place = {c: k for k, c in enumerate(at)}
+        heads = sorted((p, place[c]) for c, p in zip(cls, pivot) if p >= 0)
+        rows = []
+        if heads:
+            near = both / union
+            cols = [k for _, k in dict(heads).items()]
+            rows = [(c, near[place[c], cols].tolist()) for c in dict.fromkeys(c for c, p in zip(cls, pivot) if p == -1)]
+        return joined, rows
+
+    held, last = [], None
+    out = [[], [], [], [], []]
+
+    def flush():
+        nonlocal held
+        if held:
+            joined, rows = solve(*zip(*held))
+            for a, b in joined:
+                for col, v in zip(out, (a, b, None, None, None)):
+                    col.append(v)
+            for c, js in rows:
+                for col, v in zip(out, (None, None, last[0], c, js)):
+                    col.append(v)
+        held = []
+
+    def batch():
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["a", "b", "node", "cls", "js"])
+        for c in out:
+            c.clear()
+        return done
 
-    ``j`` is the exact similarity to the pivot or an upper bound, ``close`` says that
-    the pivot is linked. Linked pairs lie within ``near`` of each other. One with a
-    close member ``s`` has its other member no further than ``near`` + the distance
-    of ``s``; one without lies in the part that is not close.
-    """
-    d = F.lit(1.0) - F.col("j")
-    reach = members.groupBy("node").agg(F.max(F.when(F.col("close"), d)).alias("_s"), F.min(F.when(~F.col("close"), d)).alias("_o"))
-    rows = members.join(reach, "node").withColumn("_d", d)
-    eps = 1e-9
-    inner = rows.where(F.when(F.col("close"), F.col("_d") >= F.col("_o") - near - eps).otherwise(F.col("_d") <= F.col("_s") + near + eps))
-    outer = rows.where(~F.col("close"))
-    return inner.select("rep", F.xxhash64("node", F.lit(1)).alias("node")).unionByName(outer.select("rep", F.xxhash64("node", F.lit(2)).alias("node")))
+    for b in batches:
+        node, block = b.column(0).to_pylist(), b.column(1).to_pylist()
+        cls, grp, pivot, sets = (b.column(k).to_pylist() for k in range(2, 6))
+        for k, where in enumerate(zip(node, block)):
+            if where != last:
+                flush()
+                last = where
+            held.append((cls[k], grp[k], pivot[k], sets[k]))
+        yield batch()
+    flush()
+    yield batch()
+
+
+def _met(rows: DataFrame, sets: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """What :func:`_compare` finds among ``node, block, cls, grp, pivot``."""
+    full = rows.join(sets, "cls").select("node", "block", "cls", "grp", "pivot", "set")
+    full = full.repartition("node", "block").sortWithinPartitions("node", "block")
+    return scratch.write(full.mapInArrow(_compare, _FOUND), name)
+
+
+class _Forest:
+    """Components found so far and the walk down the trees."""
+
+    def __init__(self, tokens: DataFrame, sets: DataFrame, scratch: Scratch):
+        self.tokens, self.sets, self.scratch = tokens, sets, scratch
+        self.groups: DataFrame | None = None
+
+    def grouped(self, rows: DataFrame) -> DataFrame:
+        if self.groups is None:
+            return rows.withColumn("grp", F.col("cls"))
+        return rows.join(self.groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+
+    def learn(self, links: DataFrame, name: str) -> None:
+        """Join groups along ``a, b``; classes that were never linked are not in the table."""
+        links = links.distinct()
+        if links.isEmpty():
+            return
+        new = components(links, self.scratch)
+        if self.groups is not None:
+            new = self.scratch.write(new, f"{name}-merged")
+            old = self.groups.join(new, F.col("grp") == F.col("node"), "left").select("cls", F.coalesce("component", "grp").alias("grp"))
+            fresh = new.join(self.groups, F.col("node") == F.col("cls"), "left_anti")
+            new = old.unionByName(fresh.select(F.col("node").alias("cls"), F.col("component").alias("grp")))
+        else:
+            new = new.select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+        self.groups = self.scratch.write(new, name)
+
+    def live(self, rows: DataFrame, name: str) -> DataFrame:
+        """``cls, n, node, grp, size, weight`` of the nodes that hold several components, from ``cls, n, node``."""
+        rows = self.scratch.write(self.grouped(rows), f"{name}-rows")
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"))
+        stats = self.scratch.write(stats.where("_a != _b").drop("_a", "_b"), f"{name}-nodes")
+        return self.scratch.write(join_skewed(rows, stats, "node", "size", rows.count()), f"{name}-live")
+
+    def descend(self, rows: DataFrame, name: str) -> None:
+        for level in range(LEVELS + 1):
+            tag = f"{name}-{level}"
+            live = self.live(rows, tag)
+            small = F.expr(f"size = 2 or size <= {LEAF} and weight <= {WEIGHT}")
+            pairs = live.where(small).select("node", F.lit(0).alias("block"), "cls", "grp", F.lit(-2).alias("pivot"))
+            large = live.where(~small)
+            if large.isEmpty():
+                self.learn(_met(pairs, self.sets, f"{tag}-met", self.scratch).where("a is not null").select("a", "b"), f"{tag}-groups")
+                return
+            blocks = F.ceil(F.greatest(F.col("size") / LEAF, F.col("weight") / WEIGHT)).cast("int")
+            large = large.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(level)), "_blocks").cast("int"))
+            head = [F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "grp")).alias(f"_{k}") for k in range(PIVOTS)]
+            heads = large.groupBy("node", "_blocks").agg(*head)
+            pivots = heads.select("node", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.array(*(f"_{k}" for k in range(PIVOTS))).alias("_p"))
+            pivots = pivots.select("node", "block", F.posexplode("_p").alias("pivot", "_p")).select("node", "block", "_p.cls", "_p.grp", "pivot")
+            members = large.select("node", "block", "cls", "grp", F.lit(-1).alias("pivot"))
+            met = _met(pairs.unionByName(members).unionByName(pivots), self.sets, f"{tag}-met", self.scratch)
+            self.learn(met.where("a is not null").select("a", "b"), f"{tag}-groups")
+            near = self.scratch.write(self.grouped(met.where("a is null").select("node", "cls", "js")), f"{tag}-near")
+            kept = self.scratch.write(self.reachable(near, tag), f"{tag}-kept")
+            few = F.col("odds") <= (ODD if level < LEVELS else F.col("size"))
+            self.rest(kept.where(few), f"{tag}-rest")
+            kept = kept.where(~few)
+            if kept.isEmpty():
+                return
+            rows = kept.join(self.tokens, "cls").select("cls", "node", "sig").mapInArrow(_branch, "cls long, node long")
+            rows = rows.join(self.tokens.select("cls", "n"), "cls")
+
+    def reachable(self, near: DataFrame, name: str) -> DataFrame:
+        """``node, cls, grp, odd, size, odds``: the members, ``odd`` or not, that a link out of the largest component may concern.
+
+        Such a link has an odd end, one outside that component, and distances to a pivot differ by no more than the
+        distance of its ends; so the other end lies within it of what odd members have. Nodes without odd members end.
+        """
+        main = near.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m"), F.sum("c").alias("size"))
+        main = main.select("node", F.col("m.grp").alias("main"), "size")
+        total = near.count()
+        marked = join_skewed(near, main, "node", "size", total).withColumn("odd", F.col("grp") != F.col("main")).drop("main", "size")
+        marked = self.scratch.write(marked, f"{name}-marked")
+        slack = 1 - SIMILAR / 100 + 1e-9
+        j = [F.col("js")[k] for k in range(PIVOTS)]
+        when = [F.when(F.col("odd"), x) for x in j]
+        bounds = marked.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("odd"), 1)).alias("odds"), *(F.min(x).alias(f"_lo{k}") for k, x in enumerate(when)), *(F.max(x).alias(f"_hi{k}") for k, x in enumerate(when)))
+        bounds = bounds.where("odds > 0")
+        inside = F.lit(True)
+        for k, x in enumerate(j):
+            inside = inside & x.between(F.col(f"_lo{k}") - slack, F.col(f"_hi{k}") + slack)
+        return join_skewed(marked, bounds, "node", "size", total).where(inside).select("node", "cls", "grp", "odd", "size", "odds")
+
+    def rest(self, kept: DataFrame, name: str) -> None:
+        """Odd members against all members of their node, block by block, each pair of blocks a comparison of its own."""
+        half = LEAF // 2
+        n_all, n_odd = F.ceil(F.col("size") / half).cast("int").alias("_all"), F.ceil(F.col("odds") / half).cast("int").alias("_odd")
+        rows = kept.select("node", "cls", "grp", "odd", n_all, n_odd)
+        deal = F.xxhash64("cls", F.lit(99))
+        others = F.sequence(F.lit(0), F.col("_odd") - 1)
+        every = rows.select("node", "cls", "grp", F.explode(F.transform(others, lambda o: F.pmod(deal, "_all").cast("int") * F.col("_odd") + o)).alias("block"))
+        odd = rows.where("odd").select("node", "cls", "grp", F.explode(F.transform(F.sequence(F.lit(0), F.col("_all") - 1), lambda o: o * F.col("_odd") + F.pmod(deal, "_odd").cast("int"))).alias("block"))
+        both = every.unionByName(odd).withColumn("pivot", F.lit(-2))
+        self.learn(_met(both, self.sets, f"{name}-met", self.scratch).where("a is not null").select("a", "b"), f"{name}-groups")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,96 +383,60 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Words are runs of bytes other than white space, A-Z taken as a-z. Documents with
     100 * intersection >= 75 * union of their shingle sets are linked, and
     ``component_id`` is the smallest id reachable. Null and empty texts, and texts
-    without words, have no shingles and are linked with nothing. Ids are whole
-    numbers; rows repeated with one id and text count as one row each with the same
-    result; rows with a null id are returned with their shingle count, a null
-    component and ``kept`` true. Other columns are ignored; an empty table gives an
+    without words, have no shingles and are linked with nothing. Very long texts are
+    read in pieces of about a megabyte and compared whole. Rows repeated with one id
+    and text count as one row each with the same result; rows repeated with one id
+    and other texts are documents of their own that share the id; rows with a null id
+    are returned with their shingle count, a null component and ``kept`` true. Ids are
+    compared in their own type. Other columns are ignored; an empty table gives an
     empty result.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = materialize(src.mapInArrow(_signatures, "doc_id long, n long, k1 long, k2 long, sig binary"), "near-signatures")
-    real = sigs.where("doc_id is not null")
-    classes = real.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("c"))
-    classes = materialize(classes.select("n", "k1", "k2", F.col("c.doc_id").alias("rep"), F.col("c.sig").alias("sig")), "near-classes")
-    tokens = classes.select("rep", "sig")
-    texts = groups = met = comp = None
-
-    def confirm(pairs: DataFrame, name: str) -> None:
-        """Add the pairs with ``both`` and ``joint`` to those met, and what they link to the groups."""
-        nonlocal met, comp, groups
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-        new = materialize(rows.mapInArrow(_confirm, "a long, b long, both long, joint long"), f"near-met-{name}")
-        release(spark)
-        met = new if met is None else met.unionByName(new)
-        if groups is not None and between(new.where(_LINK)).isEmpty():
-            return
-        comp = materialize(components(met.where(_LINK)), f"near-components-{name}")
-        g = tokens.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("grp"))
-        groups = materialize(g, f"near-groups-{name}")
-
-    def between(pairs: DataFrame) -> DataFrame:
-        """Those whose two classes are of different groups so far."""
-        side = lambda c: groups.select(F.col("rep").alias(c), F.col("grp").alias(f"g{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where("ga != gb").select("a", "b")
-
-    rows = tokens.mapInArrow(_roots, "rep long, node long")
-    for level in range(1, LEVELS + 1):
-        live = materialize(_mixed(rows, groups), f"near-nodes-{level}")
-        if live.isEmpty():
-            break
-        if texts is None:
-            need = live.select(F.col("rep").alias("_n")).distinct()
-            texts = materialize(src.join(need, F.col("doc_id") == F.col("_n"), "left_semi"), "near-texts")
-        signed = live.join(tokens, "rep")
-        small = _leaf_pairs(signed.where(F.col("size") <= SMALL).select("node", "rep", "grp", "sig"))
-        heads = tokens.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-        large = signed.where((F.col("size") > SMALL) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"), "node", F.col("sig").alias("sb"))
-        star = materialize(large.join(heads, "a").mapInArrow(_estimate, "a long, b long, node long, est long"), f"near-star-{level}")
-        pivots = _ordered(star.where(F.col("est") >= _LEAST * TOKENS))
-        pairs = _ordered(small)
-        if met is not None:
-            pairs, pivots = (x.join(met.select("a", "b"), ["a", "b"], "left_anti") for x in (pairs, pivots))
-        pairs = materialize(pairs, f"near-pairs-{level}")
-        if level == 1:
-            # each class with its most similar partner first: mostly enough to connect a group
-            best = pairs.select(F.col("a").alias("x"), "a", "b", "est").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "est"))
-            best = best.groupBy("x").agg(F.max(F.struct("est", -F.col("a"), -F.col("b"), "a", "b")).alias("m")).select("m.a", "m.b")
-            confirm(best.unionByName(pivots.select("a", "b")).distinct(), "1")
-            pivots = pivots.where("false")
-        left = between(pairs.select("a", "b").unionByName(pivots.select("a", "b"))).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
-        # similarities to the pivot are wanted too where a pair is of one group already
-        confirm(materialize(left.unionByName(pivots.select("a", "b")).distinct(), f"near-left-{level}"), f"{level}-left")
-        exact = met.select("a", "b", (F.col("both") / F.col("joint")).alias("_j"), F.expr(_LINK).alias("_l"))
-        members = star.join(exact, ["a", "b"], "left").select(
-            "node", F.col("b").alias("rep"), F.coalesce("_j", F.least(F.lit(1.0), F.col("est") / TOKENS + F.lit(SIMILAR / 100 - _LEAST))).alias("j"), F.coalesce("_l", F.lit(False)).alias("close"),
-        )
-        pivot = star.select("node", F.col("a").alias("rep"), F.lit(1.0).alias("j"), F.lit(True).alias("close")).distinct()
-        parts = materialize(_mixed(_parts(members.unionByName(pivot), 1 - SIMILAR / 100), groups), f"near-parts-{level}")
-        rows = parts.select("rep", "node").join(tokens, "rep").select("rep", "node", "sig").mapInArrow(_children, "rep long, node long")
+    scratch = Scratch(spark)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = src.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("key", _KEY), T.StructField("sig", T.BinaryType())])
+    sigs = scratch.write(src.mapInArrow(_signatures, schema), "near-signatures")
+    grouped = sigs.where("doc_id is not null and key.n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.write(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
+    tokens = classes.select("cls", "sig", F.col("key.n").alias("n"))
+
+    rows = tokens.select("cls", "sig").mapInArrow(_roots, "cls long, tree int, node long")
+    rows = scratch.write(rows, "near-roots")
+    shared = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
+    live = scratch.write(join_skewed(rows, shared, "node", "size", rows.count()).drop("size").join(tokens.select("cls", "n"), "cls"), "near-starts")
+    need = live.select("cls").distinct().join(classes, "cls").select("cls", "key", F.col("first").alias("_first"))
+    texts = src.join(need, F.col("doc_id") == F.col("_first")).select("cls", "key", "text")
+    sets = scratch.write(texts.mapInArrow(_sets, "cls long, set binary"), "near-sets")
+    forest = _Forest(tokens, sets, scratch)
+    forest.descend(live.where("tree = 0").drop("tree"), "near-first")
+    forest.descend(live.where("tree > 0").drop("tree"), "near-others")
+
+    found = classes.select("key", "cls", "first", "copies")
+    if forest.groups is None:
+        found = found.withColumn("component", F.col("first"))
     else:
-        # the exact way for the rest: members outside a node's largest component against the others of the node
-        if not parts.isEmpty():
-            by = parts.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m")).select("node", F.col("m.grp").alias("main"))
-            odd = parts.join(by, "node").where("grp != main").select("node", F.col("rep").alias("b"), F.col("grp").alias("gb"))
-            rest = parts.select("node", F.col("rep").alias("a"), F.col("grp").alias("ga")).join(odd, "node").where("ga != gb")
-            rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
-            rest = rest.join(tokens.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(tokens.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").withColumn("node", F.lit(0).cast("long"))
-            rest = rest.mapInArrow(_estimate, "a long, b long, node long, est long").where(F.col("est") >= _LEAST * TOKENS)
-            confirm(materialize(rest.select("a", "b"), "near-rest"), "rest")
-    if comp is None:
-        comp = spark.createDataFrame([], "node long, component long")
-
-    out = sigs.drop("sig").join(classes.drop("sig"), ["n", "k1", "k2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
-    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+        named = forest.groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("component"))
+        linked = join_skewed(forest.groups, named.join(forest.groups.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")), "grp"), "grp", "_n", forest.groups.count())
+        found = found.join(linked.select("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "first"))
+    found = scratch.write(found.select("key", "component", "copies"), "near-found")
+    total = sigs.count()
+    out = join_skewed(sigs.select("doc_id", "key"), found, "key", "copies", total, "left")
+    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = out.select("doc_id", F.col("key.n").alias("n_shingles"), cid.alias("component_id"))
+    out = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-result")
+    scratch.clear()
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each group stays; rows with a null id stay."""
-    gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs``, all columns, of which one document of each group stays.
+
+    Rows with a null id stay; rows repeated with one id stay or go together, and
+    stay if one of them does.
+    """
+    found = near_groups(docs, id_col, text_col).where("doc_id is not null")
+    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
