@@ -312,7 +312,8 @@ class _Forest:
         rows = self.scratch.write(self.grouped(rows), f"{name}-rows")
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"))
         stats = self.scratch.write(stats.where("_a != _b").drop("_a", "_b"), f"{name}-nodes")
-        return self.scratch.write(join_skewed(rows, stats, "node", "size", rows.count()), f"{name}-live")
+        # both sides are written, so that the adaptive plan splits large nodes
+        return self.scratch.write(rows.join(stats, "node"), f"{name}-live")
 
     def descend(self, rows: DataFrame, name: str) -> None:
         for level in range(LEVELS + 1):
@@ -404,7 +405,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = tokens.select("cls", "sig").mapInArrow(_roots, "cls long, tree int, node long")
     rows = scratch.write(rows, "near-roots")
     shared = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
-    live = scratch.write(join_skewed(rows, shared, "node", "size", rows.count()).drop("size").join(tokens.select("cls", "n"), "cls"), "near-starts")
+    live = scratch.write(rows.join(shared, "node").drop("size").join(tokens.select("cls", "n"), "cls"), "near-starts")
     need = live.select("cls").distinct().join(classes, "cls").select("cls", "key", F.col("first").alias("_first"))
     texts = src.join(need, F.col("doc_id") == F.col("_first")).select("cls", "key", "text")
     sets = scratch.write(texts.mapInArrow(_sets, "cls long, set binary"), "near-sets")
