@@ -9,7 +9,6 @@ the last adds each document's place in the mixed order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lithoflow.llm import decontaminate as benchmarks
 from lithoflow.llm import exact, mix, near, quality
@@ -40,9 +39,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its block, slot and place in the mixed order."""
-    placed = mix.mix(docs).drop("source").withColumnRenamed("doc_id", "_id")
-    return docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Every row, all columns, with its block, slot and place in the mixed order; a column with one of these names becomes ``input_`` and the name."""
+    return mix.mix(docs)
 
 
 STAGES = [
