@@ -3,41 +3,60 @@
 Documents of a source form blocks in a hashed order. With weight ``w`` the block
 ``j`` (from 0) of a source has release ``floor(j / w)`` and deadline
 ``ceil((j + 1) / w)``; in each slot the released block with the earliest deadline
-runs. Weights are whole numbers of slots in a frame, so the schedule repeats after
-one frame and only that one is simulated, in a single row whose size the frame
-bounds. After any number of slots a source has had less than one block more or less
-than its weight asks for.
+runs. Weights are exact fractions of one denominator, the frame, so the schedule
+repeats after one frame and only that one is simulated, in a single row whose size
+the frame bounds. After any number of slots a source has had less than one block more
+or less than its weight asks for.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import gcd, lcm
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lithoflow.plans.tables import materialize
+from lithoflow.plans.tables import Scratch, materialize
 
-#: Slots in which weights are expressed, and documents in a block.
+#: Without given weights: slots in which the default weights are expressed, for each 50 sources.
 FRAME = 1000
+#: Slots of the longest frame that given weights may need.
+MOST_SLOTS = 100_000
 BLOCK_DOCS = 8
 #: Without given weights a source weighs its number of documents to this power.
 ALPHA = 0.5
 SEED = "mix-1"
+SCHEDULE = ["block", "place", "slot", "release", "deadline", "in_target"]
+
+
+def exact_slots(weights: dict[str | None, float | int | str | Fraction]) -> dict[str | None, int]:
+    """The given weights as whole slots of the shortest frame; a float counts as the decimal that it prints."""
+    parts = {k: Fraction(str(v)) if isinstance(v, float) else Fraction(v) for k, v in weights.items()}
+    if any(v <= 0 for v in parts.values()):
+        raise ValueError("weights must be positive")
+    whole = lcm(*(v.denominator for v in parts.values()))
+    slots = {k: int(v * whole) for k, v in parts.items()}
+    common = gcd(*slots.values())
+    slots = {k: v // common for k, v in slots.items()}
+    if sum(slots.values()) > MOST_SLOTS:
+        raise ValueError(f"these weights need a frame of {sum(slots.values())} slots; {MOST_SLOTS} at most")
+    return slots
 
 
-def target_slots(counts: DataFrame, weights: dict[str | None, float] | None, frame: int, alpha: float) -> DataFrame:
-    """``src, source, n, c``: slots of each source in a frame, one at least."""
+def target_slots(counts: DataFrame, weights: dict | None, alpha: float) -> DataFrame:
+    """``src, n, c``: slots of each source in a frame."""
     if weights is None:
         raw = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
-    else:
-        if any(not v > 0 for v in weights.values()):
-            raise ValueError("weights must be positive")
-        raw = F.lit(None).cast("double")
-        for k, v in weights.items():
-            raw = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(raw)
-        raw = F.coalesce(raw, F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("double"))
-    total = counts.withColumn("w", raw).agg(F.sum("w").alias("total"))
-    return counts.withColumn("w", raw).join(F.broadcast(total)).select("src", "source", "n", F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * frame)).cast("int").alias("c"))
+        total = counts.agg(F.sum(raw).alias("total"), (F.lit(FRAME) * F.ceil(F.count(F.lit(1)) / 50)).alias("frame"))
+        share = F.greatest(F.lit(1), F.round(raw / F.col("total") * F.col("frame"))).cast("int")
+        return counts.join(F.broadcast(total)).select("src", "n", share.alias("c"))
+    spark = counts.sparkSession
+    given = [("n" if k is None else f"s{k}", v) for k, v in exact_slots(weights).items()]
+    table = spark.createDataFrame(given, "src string, c int")
+    missing = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("source", F.lit("null")))).cast("int")
+    return counts.join(table, "src", "left").select("src", "n", F.coalesce("c", missing).alias("c"))
 
 
 #: One frame: of the sources whose next block is released, the earliest deadline, then the first source.
@@ -45,10 +64,12 @@ _EDF = """
 aggregate(
   sequence(0, p - 1),
   named_struct('had', transform(c, x -> 0), 'picks', cast(array() as array<int>)),
-  (s, t) -> named_struct(
-    'had', transform(s.had, (x, i) -> x + if(i = array_min(transform(c, (y, k) -> if(cast(s.had[k] as bigint) * p < cast(t + 1 as bigint) * y, named_struct('d', cast(ceil((s.had[k] + 1) * cast(p as double) / y) as bigint), 'k', k), named_struct('d', 9223372036854775807, 'k', k)))).k, 1, 0)),
-    'picks', array_append(s.picks, array_min(transform(c, (y, k) -> if(cast(s.had[k] as bigint) * p < cast(t + 1 as bigint) * y, named_struct('d', cast(ceil((s.had[k] + 1) * cast(p as double) / y) as bigint), 'k', k), named_struct('d', 9223372036854775807, 'k', k)))).k)
-  ),
+  (s, t) -> transform(
+    array(array_min(transform(c, (y, k) -> named_struct(
+      'd', if(cast(s.had[k] as bigint) * p < cast(t + 1 as bigint) * y, (cast(s.had[k] + 1 as bigint) * p + y - 1) div y, 9223372036854775807),
+      'k', k))).k),
+    pick -> named_struct('had', transform(s.had, (x, i) -> if(i = pick, x + 1, x)), 'picks', array_append(s.picks, pick))
+  )[0],
   s -> s.picks
 )
 """
@@ -65,43 +86,50 @@ def frame_schedule(slots: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame,
-    weights: dict[str | None, float] | None = None,
-    frame: int = FRAME,
+    weights: dict | None = None,
     block_docs: int = BLOCK_DOCS,
     alpha: float = ALPHA,
     seed: str = SEED,
-    max_sources: int = 2000,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, block, place, slot, release, deadline, in_target``.
+    """Every row of ``docs``, all columns, with ``block, place, slot, release, deadline, in_target``.
 
     Reading by ``(slot, place)`` gives the mixed order. No row is dropped: when a
     source has no blocks left its slots stay empty, and ``in_target`` is false from
-    the first empty slot on, where the target can no longer be met. A null source is
-    a source of its own; null ids are ordinary rows; repeated rows are placed each
-    for itself, in an order that does not matter as they are equal; the last block
-    of a source may be short. Other columns are ignored. An empty table gives an
-    empty result. More than ``max_sources`` sources raise, as the simulated frame
-    holds a slot for each.
+    the first empty slot on, where the target can no longer be met. ``weights`` are
+    taken exactly; without them the target of a source is the root of its documents
+    (``alpha``) in whole slots of a frame of 1000 for each 50 sources, one at least.
+    A null source is a source of its own; null ids are ordinary rows; repeated rows
+    are placed each for itself, in an order that does not matter as they are equal;
+    the last block of a source may be short; texts are carried whole, null, empty or
+    long. A column of ``docs`` named as one of the six is returned as ``input_`` and
+    its name. An empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession)
+    names, taken = {}, {*docs.columns, *SCHEDULE}
+    for c in docs.columns:
+        new = c
+        while new in SCHEDULE or new != c and new in taken:
+            new = f"input_{new}"
+        names[c] = new
+        taken.add(new)
+    row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     src = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), src.alias("src"))
-    rows = rows.withColumn("_k", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed))))
-    order = ["src", "_k", "doc_id"]
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)))
+    rows = docs.select(src.alias("src"), key.alias("_k"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), row.alias("_row"))
+    order = ["src", "_k", "_id"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    placed = materialize(placed.drop("_k"), "mix-order").withColumn("_p", F.shiftright("_m", 33))
+    placed = materialize(placed.select("src", "source", "_m", "_row"), "mix-order").withColumn("_p", F.shiftright("_m", 33))
     # one row per partition and source in it: at most partitions + sources
     runs = placed.groupBy("_p", "src").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"), F.first("source").alias("source"))
-    runs = materialize(runs, "mix-runs")
+    runs = scratch.write(runs, "mix-runs")
     counts = runs.groupBy("src").agg(F.max("source").alias("source"), F.sum("_n").alias("n"))
-    n_sources = counts.count()
-    if n_sources > max_sources:
-        raise ValueError(f"{n_sources} sources; the frame holds {max_sources} at most")
     before = F.coalesce(F.sum("_n").over(W.partitionBy("src").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("_p", "src", "_first", before.alias("_before"))
-    slots = target_slots(counts, weights, frame, alpha)
+    slots = target_slots(counts, weights, alpha)
     sched = materialize(frame_schedule(slots), "mix-frame")
+    runs = runs.select("_p", "src", "_first", before.alias("_before")).join(slots.select("src", F.col("c").alias("_c")), "src")
+    runs = materialize(runs, "mix-starts")
 
     def slot_of(j, c, p, at):
         return (F.floor(j / c) * p + at).cast("long")
@@ -109,22 +137,24 @@ def mix(
     ends = slots.select("src", F.ceil(F.col("n") / block_docs).cast("long").alias("j"), F.col("c").alias("_c"))
     ends = ends.join(sched, (sched["src"] == ends["src"]) & (F.pmod(F.col("j"), F.col("_c")) == sched["within"]))
     end = ends.agg(F.min(slot_of(F.col("j"), F.col("c"), F.col("p"), F.col("at"))).alias("_end"))
-    ranked = placed.join(F.broadcast(runs), ["_p", "src"]).withColumn("_r", F.col("_m") - F.col("_first") + F.col("_before"))
+    last = end.first()["_end"]
+    scratch.clear()
+    # starts: a row per partition and source, broadcast only where Spark finds it small; the frame is bounded
+    ranked = placed.join(runs, ["_p", "src"]).withColumn("_r", F.col("_m") - F.col("_first") + F.col("_before"))
     ranked = ranked.withColumn("block", F.floor(F.col("_r") / block_docs).cast("long")).withColumn("place", F.pmod(F.col("_r"), F.lit(block_docs)).cast("int"))
-    shares = sched.groupBy("src").agg(F.first("c").alias("_c"))
-    ranked = ranked.join(F.broadcast(shares), "src").withColumn("within", F.pmod(F.col("block"), F.col("_c")).cast("int"))
-    out = ranked.join(F.broadcast(sched), ["src", "within"]).join(F.broadcast(end))
-    j, c, p = F.col("block"), F.col("c"), F.col("p")
-    slot = slot_of(j, c, p, F.col("at"))
+    ranked = ranked.withColumn("within", F.pmod(F.col("block"), F.col("_c")).cast("int"))
+    out = ranked.join(F.broadcast(sched), ["src", "within"])
+    slot = slot_of(F.col("block"), F.col("c"), F.col("p"), F.col("at"))
     return out.select(
-        "doc_id", "source", "block", "place", slot.alias("slot"),
-        F.floor(j * p / c).cast("long").alias("release"), F.ceil((j + 1) * p / c).cast("long").alias("deadline"),
-        (slot < F.col("_end")).alias("in_target"),
+        *(F.col("_row")[n].alias(n) for n in names.values()), "block", "place", slot.alias("slot"),
+        F.expr("cast(cast(block as decimal(19,0)) * p div c as long)").alias("release"),
+        F.expr("cast((cast(block + 1 as decimal(19,0)) * p + c - 1) div c as long)").alias("deadline"),
+        (slot < F.lit(last)).alias("in_target"),
     )
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
 
 
 SQL = {

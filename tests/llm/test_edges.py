@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns for every operator."""
 
 import random
+from fractions import Fraction
 
 import brute
 import pytest
@@ -122,13 +123,13 @@ def test_near_large_groups(spark, monkeypatch):
     """Groups beyond the exhaustive size: chains of drifting copies, which only hold together link by link."""
     r = random.Random(7)
     rows, base = [], prose(120, 9).split()
-    for i in range(150):
+    for i in range(400):
         if i % 10 == 0:
             base = base[1:] + [f"n{i}"]
         words = list(base)
         words[r.randrange(len(words))] = f"m{i}"
         rows.append((i, " ".join(words), None, None, None))
-    for name, v in (("SMALL", 4), ("LEVELS", 2)):
+    for name, v in (("LEAF", 8), ("PIVOTS", 2), ("ODD", 3), ("LEVELS", 1)):
         monkeypatch.setattr(near, name, v)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_groups(docs(spark, rows)).collect()}
     assert got == brute.near([(i, t) for i, t, *_ in rows])
@@ -270,24 +271,40 @@ def test_mix(spark, odd, empty):
     assert len(rows) == len(ODD) and len({(r.slot, r.place) for r in rows}) == len(ODD)
     assert all(r.release <= r.slot < r.deadline for r in rows)
     assert mix.mix(empty).collect() == []
-    with pytest.raises(ValueError, match="sources"):
-        mix.mix(odd, max_sources=2)
+    with pytest.raises(ValueError, match="frame"):
+        mix.mix(odd, weights={"s0": 1.0, "s1": 1e-9})
     with pytest.raises(Exception, match="no weight"):
         mix.mix(odd, weights={"s0": 1.0}).collect()
 
 
-def test_mix_deviation(spark):
-    """Each prefix of slots holds less than one block more or less than the weights ask for."""
-    w = {"a": 0.61, "b": 0.27, "c": 0.07, "d": 0.05}
-    d = spark.createDataFrame([(k, "abcd"[k % 4]) for k in range(1600)], "doc_id long, source string")
-    rows = [r for r in mix.mix(d, weights=w, frame=100, block_docs=4).collect() if r.in_target]
+@pytest.mark.parametrize(
+    "w",
+    [
+        {"a": 0.61, "b": 0.27, "c": 0.07, "d": 0.05},
+        {"a": 0.99995, "b": 0.00005},
+        {"a": 1, "b": 2},
+        {"a": Fraction(1, 3), "b": Fraction(1, 3), "c": Fraction(1, 7), "d": Fraction(4, 21)},
+    ],
+)
+def test_mix_deviation(spark, w):
+    """Each prefix of slots holds less than one block more or less than the given weights ask for."""
+    d = spark.createDataFrame([(k, sorted(w)[k % len(w)]) for k in range(4800)], "doc_id long, source string")
+    rows = [r for r in mix.mix(d, weights=w, block_docs=4).collect() if r.in_target]
     slots = {r.slot: r.source for r in rows}
     end = max(slots)
     assert sorted(slots) == list(range(end + 1)) and end > 100
-    seen = dict.fromkeys(w, 0)
+    total, seen = sum(map(Fraction, map(str, w.values()))), dict.fromkeys(w, 0)
     for t in range(end + 1):
         seen[slots[t]] += 1
-        assert all(abs(seen[s] - w[s] * (t + 1)) < 1 for s in w)
+        assert all(abs(seen[s] - Fraction(str(w[s])) / total * (t + 1)) < 1 for s in w)
+
+
+def test_mix_keeps_rows_and_columns(spark):
+    """Repeated ids stay apart and columns named as the schedule are carried under another name."""
+    d = spark.createDataFrame([(1, "x", "a", 7), (1, "y", "a", 8), (2, None, None, 9)], "doc_id long, text string, source string, block int")
+    got = mix.mix(d)
+    assert got.columns == ["doc_id", "text", "source", "input_block", *mix.SCHEDULE]
+    assert sorted((r.doc_id, r.text or "", r.input_block) for r in got.collect()) == [(1, "x", 7), (1, "y", 8), (2, "", 9)]
 
 
 def test_licenses(spark, odd, empty):
@@ -308,6 +325,22 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_scan(licenses.corpus_path(empty)).collect() == []
 
 
+def test_license_headers_and_files(spark):
+    """Whole license files, wrapped notices and notices inside a line are found, and a license file is inherited."""
+    mit = dict(x for x in licenses.TEMPLATES if x[0] == "MIT")["MIT"]
+    files = spark.createDataFrame(
+        [
+            (1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit), (2, "a/b/x.txt", "plain words"), (3, "c/h.py", "# " + mit.replace("\n", "\n# ") + "\ncode and more code " * 300),
+            (4, "d/y", "it says This work is licensed under the GNU\nGeneral Public License, version 3. and goes on " + "so " * 500), (5, "e/z", "Licensed under the Apache\nLicense, Version 2.0."), (6, "e/w", "an apache in a license of the public"),
+        ],
+        "doc_id long, path string, text string",
+    )
+    got = {r.doc_id: (r.own_license, r.license, r.from_dir) for r in licenses.license_scan(files).collect()}
+    assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("MIT", "MIT", None), 4: ("GPL-3.0", "GPL-3.0", None), 5: ("Apache-2.0", "Apache-2.0", None), 6: (None, None, None)}
+    own = licenses.license_scan(files.where("doc_id = 1"), templates={"X": files.first()["text"]}).first()
+    assert own.own_license == "X" and abs(own.score - 1) < 1e-8
+
+
 def test_chat(spark):
     def conv(c, *turns):
         return [(c, k, "user" if k % 2 == 0 else "assistant", t, "x", 3) for k, t in enumerate(turns)]
