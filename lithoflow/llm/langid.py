@@ -26,6 +26,8 @@ from lithoflow.llm.bytesets import mix
 
 #: Training texts taken per language, by hash of the id; the only sampled figure.
 TRAIN_PER_LANG = 1500
+#: Languages of a model; more raise an error.
+MOST_LANGS = 1000
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 SWITCH = 12.0
@@ -158,7 +160,9 @@ class Labeller:
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from about ``per_lang`` texts of each language, chosen by hash of the id; counting is distributed."""
     src = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    have = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(10_000).collect()}
+    have = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(have) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages; the model holds a column of {BUCKETS} scores for each")
     langs = sorted(have)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
@@ -168,22 +172,24 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id
     sample = src.join(cuts, "lang").where(u < F.col("rate")).select("lang", "text")
 
     def count(batches):
-        grams = np.zeros((len(langs), BUCKETS), np.int64)
-        letters = np.zeros((len(langs), len(_NAMES)), np.int64)
+        """What each batch adds: ``language, bucket, n`` of grams, and of letters by script behind the last bucket."""
         for b in batches:
+            total: dict[int, np.ndarray] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = _WORD.findall((text or "").lower())
                 if ws:
-                    k = langs.index(lang)
-                    grams[k] += np.bincount(gram_buckets(ws)[0], minlength=BUCKETS)
-                    letters[k] += np.bincount(script_of(ws), weights=[len(w) for w in ws], minlength=len(_NAMES)).astype(np.int64)
-        for k in np.flatnonzero(letters.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([grams[k].tobytes()], pa.binary()), pa.array([letters[k].tobytes()], pa.binary())], names=["k", "g", "l"])
-
-    grams, letters = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), len(_NAMES)))
-    for r in sample.coalesce(8).mapInArrow(count, "k int, g binary, l binary").collect():  # at most 8 rows per language
-        grams[r["k"]] += np.frombuffer(r["g"], np.int64)
-        letters[r["k"]] += np.frombuffer(r["l"], np.int64)
+                    row = total.setdefault(langs.index(lang), np.zeros(BUCKETS + len(_NAMES), np.int64))
+                    row[:BUCKETS] += np.bincount(gram_buckets(ws)[0], minlength=BUCKETS)
+                    row[BUCKETS:] += np.bincount(script_of(ws), weights=[len(w) for w in ws], minlength=len(_NAMES)).astype(np.int64)
+            for k, row in total.items():
+                at = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["k", "at", "n"])
+
+    counts = np.zeros((len(langs), BUCKETS + len(_NAMES)))
+    found = sample.mapInArrow(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # a figure per language and bucket at most
+        counts[r["k"], r["at"]] = r["n"]
+    grams, letters = counts[:, :BUCKETS], counts[:, BUCKETS:]
     p = (grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
     uses = letters > 0.01 * np.maximum(letters.sum(axis=1, keepdims=True), 1)
     return Model(langs, np.log(p).T.astype(np.float32), uses.T)
@@ -221,7 +227,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(col: str = "doc_id"):
-    return F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2
+    """A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text is a bag of passages. Each passage is encoded from byte statistics; gated
 attention, learned from labels of whole documents, weighs the encodings, and the
-weighted representation is scored. Training runs on a bounded sample of labelled
-documents, scoring on every passage of every text.
+weighted representation is scored. Training runs on all passages of a bounded sample
+of labelled documents, scoring on every passage of every text.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lithoflow.llm.bytesets import SPACE, chunks, prefix, spans, table, words
 
-#: Bytes of a passage; labelled documents learned from; passages per document while learning.
+#: Bytes of a passage; labelled documents learned from, and their passages in all.
 PASSAGE = 512
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 64
+TRAIN_PASSAGES = 200_000
 THRESHOLD = 0.3
 EPOCHS = 150
 HIDDEN, ATTENTION = 24, 12
@@ -135,24 +136,28 @@ def _bags(batches, ids: int, text: int, label: int):
     for b in batches:
         for i, j, data, off in chunks(b.column(text)):
             x, first = passage_features(data, off)
-            bags = []
-            for k in range(j - i):
-                bag = x[first[k] : first[k + 1]]
-                bags.append(bag[np.linspace(0, len(bag) - 1, min(len(bag), TRAIN_PASSAGES)).astype(int)].tobytes())
+            bags = [x[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([b.column(ids).slice(i, j - i), b.column(label).slice(i, j - i), pa.array(bags, pa.binary())], names=["k", "y", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages: int = TRAIN_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
     """Learn from at most ``most`` labelled documents, chosen by hash of the id.
 
+    Documents are taken whole, in that order, up to ``passages`` in all (one that is
+    longer by itself is passed over); what learning holds is bounded by the two.
     Labels that are null are ignored; of several for one id the largest holds.
     Without any label every score is 0.5.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_k")).agg(F.max(label_col).cast("int").alias("_y"))
     marks = marks.orderBy(F.xxhash64(F.lit("quality"), F.col("_k")), "_k").limit(most)
-    picked = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(marks), F.col("_i") == F.col("_k"))
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("_t"), F.lit(0)) / PASSAGE))
+    sized = texts.join(F.broadcast(marks), F.col("_i") == F.col("_k")).groupBy("_k", "_y").agg(F.sum(size).alias("_n")).where(F.col("_n") <= passages)
+    upto = F.sum("_n").over(W.orderBy(F.xxhash64(F.lit("quality"), F.col("_k")), "_k"))  # over at most ``most`` rows
+    marks = sized.withColumn("_upto", upto).where(F.col("_upto") <= passages).select("_k", "_y")
+    picked = texts.join(F.broadcast(marks), F.col("_i") == F.col("_k"))
     picked = picked.select(F.col("_i").cast("string").alias("k"), F.col("_t").alias("t"), F.col("_y").alias("y"))
-    rows = picked.mapInArrow(lambda it: _bags(it, 0, 1, 2), "k string, y int, bag binary").collect()  # at most ``most`` bags of bounded size
+    rows = picked.mapInArrow(lambda it: _bags(it, 0, 1, 2), "k string, y int, bag binary").collect()  # ``most`` bags and ``passages`` rows of features at most
     rows = sorted({(r["k"], r["y"], bytes(r["bag"])) for r in rows})
     if not rows:
         x, first, y = np.zeros((1, N_FEATURES), np.float32), np.array([0, 1]), np.array([0.5])
@@ -166,7 +171,7 @@ def predict(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, id_
     """``doc_id, score, predicted, n_passages`` for each input row; with ``carry`` these columns of ``docs`` in place of ``doc_id``.
 
     Null text counts as empty; an empty text is a bag with one empty passage and has
-    a score too. Repeated rows are scored each for itself, null ids pass through,
+    a score too; a very long text is as many passages as it has. Repeated rows are scored each for itself, null ids pass through,
     other columns are ignored, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
@@ -189,7 +194,8 @@ def predict(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, id_
 
 
 def held_out(col: str = "doc_id"):
-    return F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0
+    """A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Texts are cut at safe boundaries, a space between two characters that are not
 white space: the pre-tokenizer starts a new piece there whatever surrounds it, and
 no special string holds a space, so the lengths of the parts add up to the length
-of the whole. That bounds the work of any single call however long a text is, and
-makes parts that recur (most words do) encode once per worker. Only the lengths
-leave the worker.
+of the whole. That bounds a single call by the longest stretch without such a boundary
+(a text without any space is one call), and makes parts that recur (most words do)
+encode once per worker. Only the lengths leave the worker.
 """
 
 from __future__ import annotations
@@ -84,14 +84,13 @@ _COUNTERS: dict[str, Counter] = {}
 def counts_in(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path))
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
+        ids, texts, sizes = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
         n_tokens: list[int] = []
         group: list[str] = []
         size = 0
-        for t in texts:
-            t = t or ""
-            group.append(t)
-            size += len(t)
+        for t, n in zip(texts, sizes):
+            group.append(t or "")
+            size += n
             if size >= BATCH_BYTES:
                 n_tokens += counter.batch(group)
                 group, size = [], 0
