@@ -1,4 +1,4 @@
-"""Suffix dedup: removal of passages that occur earlier, by grouping equal strings.
+"""Suffix dedup: removal of passages that occur earlier, by longest-previous-factor arrays.
 
 A byte goes if a ``MATCH``-byte string over it also starts earlier (smaller id, or
 same document and smaller start). A string goes with its anchor, the smallest of its
@@ -8,12 +8,11 @@ suffixes around equal anchors must be sorted together. In four steps:
 1. anchors that occur once in the corpus are set aside;
 2. consecutive strings with one anchor form a context; of equal contexts the first
    keeps its strings, all others lose them (hashes of 128 bits over the whole context);
-3. anchors with several different contexts: the strings of these contexts are ranked
-   by prefix doubling and of each rank the first position stays; the longest previous
-   factor reaches ``MATCH`` at the others, so no array of it is built. An anchor with
-   very many contexts (a
-   phrase of the whole corpus) takes its strings one by one to the tasks of their own
-   hash, where the first is found by an aggregate;
+3. anchors with several different contexts: the suffixes of these contexts are sorted,
+   the previous and next one of smaller position found for each, and the longer of the
+   two common lengths, the longest previous factor, decides whether a string stays. An
+   anchor with very many contexts (a phrase of the whole corpus) takes its strings one by
+   one to the tasks of their own hash, where the first is found by an aggregate;
 4. the bytes under the strings that go are cut out of each text.
 """
 
@@ -34,7 +33,7 @@ MATCH, GRAM = 100, 32
 #: Contexts of one anchor that are sorted in one task; beyond it strings are dealt one by one.
 HEAVY = 2000
 #: Context bytes in one suffix array.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _T1, _T2 = table(21), table(22)
 
 
@@ -99,35 +98,69 @@ def _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), i32(start), i32(count), pa.array(gone)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, place: np.ndarray, match: int = MATCH) -> np.ndarray:
-    """For each suffix in ``starts`` whether its longest previous factor reaches ``match``.
-
-    ``place`` orders the suffixes by position. Prefix doubling ranks all suffixes to
-    depth ``match``; of those that agree so far, all but the one with the smallest
-    position have an equal string before them, that is a longest previous factor of
-    ``match`` or more.
-    """
+def _ranks(data: np.ndarray, match: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The eight bytes from each position, and by prefix doubling the rank of each suffix to depths up to ``match``."""
     n = len(data)
-    pad = np.concatenate([data, np.zeros(2 * match + 16, np.uint8)])
+    pad = np.concatenate([data, np.zeros(match + 16, np.uint8)])
     key = np.zeros(n + match, np.uint64)
-    depth = 1
-    while depth * 2 <= 8:
-        depth *= 2
-    depth = min(depth, match)
-    for k in range(depth):
+    for k in range(8):
         key = (key << np.uint64(8)) | pad[k : k + n + match]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    depth, ranks = min(8, match), {}
+    rank = np.unique(key >> np.uint64(64 - 8 * depth), return_inverse=True)[1].astype(np.uint64)
+    ranks[depth] = rank.astype(np.uint32)
     while depth < match:
         step = min(depth, match - depth)
         nxt = np.concatenate([rank[step:], np.zeros(step, np.uint64)])
         rank = np.unique((rank << np.uint64(32)) | nxt, return_inverse=True)[1].astype(np.uint64)
         depth += step
-    r = rank[starts]
-    order = np.lexsort((place, r))
-    first = np.ones(len(r), bool)
-    first[1:] = r[order][1:] != r[order][:-1]
-    out = np.empty(len(r), bool)
-    out[order] = ~first
+        ranks[depth] = rank.astype(np.uint32)
+    return key, ranks
+
+
+def _smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix in order, what it shares with the nearest one before it that has a smaller position.
+
+    ``common`` holds what each suffix shares with the one before it. Pointers jump along
+    those found so far, and the smallest common length on the way goes with them.
+    """
+    at, share = np.arange(len(place)) - 1, common.copy()
+    live = np.arange(1, len(place))
+    while len(live):
+        live = live[place[at[live]] > place[live]]
+        to = at[live]
+        share[live] = np.minimum(share[live], share[to])
+        at[live] = at[to]
+        live = live[at[live] >= 0]
+    share[at < 0] = 0
+    return share
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, place: np.ndarray, match: int = MATCH) -> np.ndarray:
+    """The longest previous factor, counted up to ``match``, of each suffix in ``starts``; ``place`` orders them by position.
+
+    In suffix order the earlier suffixes that share most with one are the previous and
+    the next one of smaller position; the longer of the two common lengths is the factor.
+    """
+    key, ranks = _ranks(data, match)
+    order = np.lexsort((place, ranks[match][starts]))
+    x, y = starts[order][:-1].copy(), starts[order][1:].copy()
+    common = np.zeros(len(x), np.int64)
+    for depth in sorted((d for d in ranks if d < match or d & (d - 1) == 0), reverse=True):
+        step = np.where(ranks[depth][x] == ranks[depth][y], depth, 0)
+        common += step
+        x += step
+        y += step
+        over = np.minimum(match - common, 0)  # positions past the depth are not looked at
+        x += over
+        y += over
+    differ = key[x] ^ key[y]
+    for k in range(1, 8):
+        common += (differ >> np.uint64(64 - 8 * k)) == 0
+    common = np.minimum(common, match)
+    before = _smaller(place[order], np.concatenate([[0], common]))
+    after = _smaller(place[order][::-1], np.concatenate([[0], common[::-1]]))[::-1]
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -146,7 +179,7 @@ def _factor(batches):
         rank = np.empty(len(ctx), np.int64)
         rank[np.lexsort((start, doc))] = np.arange(len(ctx))
         # strings of one document may lie in two contexts only if these are of different anchors, so rows order positions
-        gone = repeated(np.frombuffer(b"".join(ctx), np.uint8), base[row] + inner, rank[row] * 1_000_000 + inner)
+        gone = longest_previous(np.frombuffer(b"".join(ctx), np.uint8), base[row] + inner, rank[row] * 1_000_000 + inner) >= MATCH
         edge = np.ones(len(row), bool)
         edge[1:] = (row[1:] != row[:-1]) | ~gone[:-1]
         lo = np.flatnonzero(gone & edge)
@@ -221,10 +254,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are their UTF-8 bytes, null counts as empty; matches never cross texts.
     Documents are ordered by id, null ids last, and by a hash of the text among
     equal ids; rows repeated with one id and text are one document and get equal
-    rows. Ids are whole numbers. Texts under 100 bytes lose nothing. Other columns
+    rows. Ids of another type than whole numbers raise an error. Texts under 100 bytes
+    lose nothing; very long texts are read whole. Other columns
     are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n, ids = src.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     plain = n == ids and src.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()

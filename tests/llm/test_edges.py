@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import brute
+import numpy as np
 import pytest
 
 from lithoflow.llm import chat, decontaminate, exact, langid, licenses, mix, near, quality, repeats, tokens
@@ -147,6 +148,23 @@ def test_repeats(plain, odd, empty):
     assert repeats.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("match", [3, 8, 9, 16, 37, 100])
+def test_longest_previous_factor(match):
+    """The array against its definition, on strings of two letters with a long repeat."""
+    r = np.random.default_rng(match)
+    data = r.integers(97, 99, 260).astype(np.uint8)
+    data[130:250] = data[:120]
+    starts = np.arange(260 - match + 1)
+    place = r.permutation(len(starts))
+    b = bytes(data)
+
+    def common(i, j):
+        return next((k for k in range(match) if b[i + k] != b[j + k]), match)
+
+    want = [max((common(i, j) for j in starts if place[j] < place[i]), default=0) for i in starts]
+    assert repeats.longest_previous(data, starts, place, match).tolist() == want
+
+
 def test_repeats_heavy_anchor(plain):
     """Anchors with many contexts take the way of single strings; the result is the same."""
     a = {tuple(r)[:5] for r in repeats.remove_repeats(plain, keep_text=False).collect()}
