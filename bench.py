@@ -10,7 +10,10 @@ from lithoflow.plans import catalog
 from lithoflow.session import local_session
 
 HEADLINE = ["flagship", "windowed_nearest_ties", "theme_fewtem", "theme_skytem", "well_theme_top3", "combine_with_prior", "inpox_probability", "stack_clamp", "cluster_stats_nearest_rank", "krige_window"]
-LLM = ["op1_exact_dedup", "op2_token_counts", "op3_decontaminate", "op4_mix_sources"]
+LLM = [
+    "op1_exact_dedup", "op2_token_counts", "op3_decontaminate", "op4_mix_sources", "op5_license_scan", "op6_language_id", "op7_suffix_dedup", "op8_chat_format",
+    "op9_quality_classifier", "op10_minhash_near_dedup",
+]
 
 
 def main() -> None:
