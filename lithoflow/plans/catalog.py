@@ -475,7 +475,27 @@ def _windows(spark, d):
     return g, kriging.build_windows(lab, s, cond, stats, mt, X.SIDE, X.SIDE)
 
 
-@query()
+def _ring_ctes(name: str, inside: str) -> str:
+    """``{name}0`` to ``{name}3``: the number of the ring outside ``inside`` that each cell of each element lies in."""
+    cte = f"{name}0 AS (SELECT label, iy, ix, {inside} AS v, 0 AS ring FROM m)"
+    for k in (1, 2, 3):
+        cte += f""",
+{name}{k} AS (SELECT label, iy, ix, v OR e AS v, CASE WHEN e THEN {k} ELSE ring END AS ring FROM (SELECT *, NOT v AND
+    (coalesce(lag(v) OVER x, v) <> coalesce(lead(v) OVER x, v) OR coalesce(lag(v) OVER y, v) <> coalesce(lead(v) OVER y, v)) AS e FROM {name}{k - 1}
+  WINDOW x AS (PARTITION BY label, iy ORDER BY ix), y AS (PARTITION BY label, ix ORDER BY iy)))"""
+    return cte
+
+
+_BUFFER_SQL = f"""
+WITH m AS (SELECT label, iy, ix, (CASE WHEN ix < 12 OR iy > 15 THEN 1 ELSE 2 END) = label AS v FROM ({X.CELLS}) c, (VALUES (1), (2)) l(label)),
+{_ring_ctes("a", "v")},
+{_ring_ctes("b", "NOT v")},
+w AS (SELECT label, iy, ix, CASE WHEN m.v THEN CASE b3.ring WHEN 0 THEN 1 ELSE (3 + b3.ring) / 7.0 END ELSE CASE a3.ring WHEN 0 THEN 0 ELSE (4 - a3.ring) / 7.0 END END::double AS w
+  FROM m JOIN a3 USING (label, iy, ix) JOIN b3 USING (label, iy, ix))
+SELECT label, 1 AS component, iy, ix, round(w, 6) AS weight FROM w WHERE w > 0"""
+
+
+@query(_BUFFER_SQL)
 def buffer_weights(spark, d):
     return _windows(spark, d)[1].select("label", "component", "iy", "ix", F.round("weight", 6).alias("weight"))
 
@@ -492,6 +512,22 @@ def simulate_layer(spark, d):
     return kriging.simulate_layers(g, w, 4, seed=3)
 
 
+_REACH_SQL = f"""
+WITH c AS ({X.duck(X.CLASSES)}),
+h AS (SELECT iy, ix, cls FROM c WHERE cls IS NOT NULL AND ix < 9),
+o AS (SELECT iy, ix FROM c WHERE cls IS NULL OR ix >= 9),
+r AS (SELECT o.iy, o.ix, greatest(5, min(greatest(abs(o.iy - h.iy), abs(o.ix - h.ix)))) AS r FROM o CROSS JOIN h GROUP BY ALL),
+n AS (SELECT r.iy, r.ix, h.cls, count(*) AS n FROM r JOIN h ON abs(r.iy - h.iy) <= r AND abs(r.ix - h.ix) <= r GROUP BY ALL)
+SELECT iy, ix, arg_min(cls, (-n, cls)) AS cls FROM n GROUP BY iy, ix"""
+
+
+@query(_REACH_SQL)
+def reach_fill(spark, d):
+    c = X.frame(spark, d, X.CLASSES)
+    known = F.expr("cls is not null and ix < 9")
+    return clusters.mode_within_reach(c.where(known), c.where(~known), 5, X.SIDE, X.SIDE)
+
+
 @query()
 def kriging_zones(spark, d):
     s = surface(spark, d).withColumn("range", F.when(F.pmod(F.col("ix") * 3 + F.col("iy"), F.lit(4)) == 0, 100.0 + 10 * F.col("ix"))).withColumn("sill", F.when(F.col("range").isNotNull(), 1.0 + F.col("iy")))
