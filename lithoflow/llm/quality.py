@@ -167,6 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages:
     return fit(x, first, y)
 
 
+def good(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns, whatever their names."""
+    plain = docs.toDF(*(f"_carry{k}" for k in range(len(docs.columns))))
+    scored = predict(plain, model, threshold, text_col=f"_carry{docs.columns.index(text_col)}", carry=plain.columns)
+    return scored.where("predicted = 1").select(*plain.columns).toDF(*docs.columns)
+
+
 def predict(docs: DataFrame, model: Attention, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``doc_id, score, predicted, n_passages`` for each input row; with ``carry`` these columns of ``docs`` in place of ``doc_id``.
 
