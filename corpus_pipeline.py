@@ -19,8 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects go. It learns from the labels of the stage's own input, held-out fold apart."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
-    good = quality.predict(docs, model, carry=docs.columns).where("predicted = 1")
-    return good.select(*docs.columns)
+    return quality.good(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
