@@ -294,7 +294,6 @@ class _Forest:
 
     def learn(self, links: DataFrame, name: str) -> None:
         """Join groups along ``a, b``; classes that were never linked are not in the table."""
-        links = links.distinct()
         if links.isEmpty():
             return
         new = components(links, self.scratch)
