@@ -9,6 +9,9 @@ stands for one string, so there are no collisions.
 Blocks are sorted by (64-bit hash, text). Where a hash occurs once in the corpus
 the text is not needed to place the block, so only blocks whose hash occurs again
 carry their text through the sort; equality is always decided on text.
+
+Copies share block, pair and identity. Each join on one of these sends the names of
+the few that a large part of the rows have to those rows, which stay where they are.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoflow.plans.tables import materialize, sorted_names
+from lithoflow.plans.tables import join_skewed, materialize, sorted_names
 
 #: Runs of these bytes count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -44,21 +47,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         n = F.size("_b").alias("n")
         return df.select(*head, blocks.alias("_b")).select(*head, n, F.posexplode("_b").alias("i", "block"))
 
-    again = cut(src).groupBy(F.xxhash64("block").alias("h")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("h", F.lit(True).alias("_tie"))
+    def numbered(table: DataFrame, parts: list[str], name: str) -> DataFrame:
+        """Names of the distinct ``parts`` as ``key``, with the number of rows that have them."""
+        counted = table.groupBy(*parts).agg(F.count(F.lit(1)).alias("_c"))
+        return sorted_names(counted, parts, "name", name).select(F.struct(*parts).alias("key"), "_c", "name")
+
+    again = cut(src).groupBy(F.xxhash64("block").alias("h")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    again = materialize(again.withColumn("_tie", F.lit(True)), "exact-again")
+    tied = again.agg(F.sum("_c")).first()[0] or 0
     first = src.withColumn("uid", F.monotonically_increasing_id()).withColumn("_s", F.sha2(F.encode("_t", "UTF-8"), 256))
     rows = cut(first).withColumn("h", F.xxhash64("block"))
-    rows = rows.join(again, "h", "left").select(
+    rows = join_skewed(rows, again, "h", "_c", tied, "left").select(
         "uid", "doc_id", "n", "i", "h",
         F.when(F.col("i") == 0, F.col("_s")).alias("sha"),
         F.when(F.col("_tie"), F.col("block")).alias("tie"),
     )
     rows = materialize(rows, "exact-blocks")
-    names = sorted_names(rows.select("h", "tie").distinct(), ["h", "tie"], "name", "exact-names-0")
-    left, right = rows.alias("l"), names.alias("r")
-    same = (F.col("l.h") == F.col("r.h")) & F.col("l.tie").eqNullSafe(F.col("r.tie"))
-    level = materialize(left.join(right, same).select("l.uid", "l.n", "l.i", "r.name"), "exact-level-0")
+    names = numbered(rows, ["h", "tie"], "exact-names-0")
+    level = join_skewed(rows.select("uid", "n", "i", F.struct("h", "tie").alias("key")), names, "key", "_c", rows.count())
+    level = materialize(level.select("uid", "n", "i", "name"), "exact-level-0")
     most = level.agg(F.max("n")).first()[0] or 1
-    total, k = most, 0
+    k = 0
     done = level.where("n = 1").select("uid", F.lit(0).alias("level"), "name")
     while most > 1:
         k += 1
@@ -68,15 +77,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(0)).alias("b"))
         )
         pairs = materialize(pairs, f"exact-pairs-{k}")
-        named = sorted_names(pairs.select("a", "b").distinct(), ["a", "b"], "name", f"exact-names-{k}")
-        level = pairs.join(named, ["a", "b"]).select("uid", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("j").alias("i"), "name")
+        named = numbered(pairs, ["a", "b"], f"exact-names-{k}")
+        level = join_skewed(pairs.select("uid", "n", "j", F.struct("a", "b").alias("key")), named, "key", "_c", pairs.count())
+        level = level.select("uid", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("j").alias("i"), "name")
         level = materialize(level, f"exact-level-{k}")
         done = done.unionByName(level.where("n = 1").select("uid", F.lit(k).alias("level"), "name"))
         most = (most + 1) // 2
     heads = rows.where("i = 0").select("uid", "doc_id", "sha", "n")
-    ident = materialize(heads.join(done, "uid"), "exact-identity") if total > 1 else heads.join(done, "uid")
-    groups = ident.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return ident.join(groups, ["level", "name"]).select(
+    ident = heads.join(done, "uid").select("doc_id", "sha", "n", F.struct("level", "name").alias("key"))
+    ident = materialize(ident, "exact-identity")
+    groups = ident.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "exact-groups")
+    return join_skewed(ident, groups, "key", "group_size", ident.count()).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"), F.col("n").alias("n_blocks"),
