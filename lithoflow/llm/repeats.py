@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,10 @@ from lithoflow.plans.tables import materialize, sorted_names
 MATCH, GRAM = 100, 32
 #: Contexts of one anchor that are sorted in one task; beyond it strings are dealt one by one.
 HEAVY = 2000
-#: Context bytes in one suffix array.
-BLOCK = 2 << 20
+#: Context bytes in one suffix array, give or take the contexts of one anchor.
+BLOCK = 1 << 18
+#: Bytes of text that are hashed at once; positions in a piece fit ``POSITION_BITS``.
+PIECE, POSITION_BITS = 1 << 18, 20
 _T1, _T2 = table(21), table(22)
 
 
@@ -47,8 +50,8 @@ def anchors(data: np.ndarray, off: np.ndarray, match: int = MATCH, gram: int = G
     h = spans(p1, pos, pos + gram)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    # smallest gram of each window, the leftmost on ties; positions fit the low bits
-    bits = np.uint64(max(1, int(n).bit_length()))
+    # smallest gram of each window, the leftmost on ties; the low bits hold positions, as many bits for all
+    bits = np.uint64(POSITION_BITS)
     key = (h >> bits << bits) | pos.astype(np.uint64)
     pad = -len(key) % w
     rows = np.concatenate([key, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, w)
@@ -70,10 +73,25 @@ def anchors(data: np.ndarray, off: np.ndarray, match: int = MATCH, gram: int = G
     return text[lo], lo - off[text[lo]], hi - lo + 1, at - off[text[lo]], h[at], c
 
 
+def _pieces(column: pa.Array):
+    """``first text, first byte, bytes, offsets`` of runs of whole texts, or of parts of a long one.
+
+    Each string lies in one part: a part goes on over the strings that start in it. A run of strings
+    with one anchor may be cut in two there; the factors treat these like any two contexts.
+    """
+    for i, _, data, off in chunks(column, PIECE):
+        if len(data) <= PIECE:
+            yield i, 0, data, off
+            continue
+        for a in range(0, max(1, len(data) - MATCH + 1), PIECE):
+            part = data[a : a + PIECE + MATCH - 1]
+            yield i, a, part, np.array([0, len(part)])
+
+
 def _grams(batches):
     """Anchors of each batch with how often they occur in it, once or more."""
     for b in batches:
-        for _, _, data, off in chunks(b.column(1)):
+        for _, _, data, off in _pieces(b.column(1)):
             g, n = np.unique(anchors(data, off)[4], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
@@ -86,9 +104,9 @@ def _contexts(batches):
     """Contexts of each batch; of equal ones all but the first are gone already and need not meet others."""
     for b in batches:
         ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)
-        for i, _, data, off in chunks(b.column(1)):
+        for i, first, data, off in _pieces(b.column(1)):
             text, start, count, _, h, c = anchors(data, off)
-            doc = ids[i + text]
+            doc, start = ids[i + text], start + first
             order = np.lexsort((start, doc, c, h))
             start, count, h, c, doc = (x[order] for x in (start, count, h, c, doc))
             gone = np.zeros(len(h), bool)
@@ -167,8 +185,7 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, place: np.ndarray, ma
 def _factor(batches):
     """Rows ``h, doc, start, ctx`` in order of ``h``: the strings of each context that occur earlier, as runs."""
 
-    def solve(rows: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(rows)
+    def solve(t: pa.Table):
         doc, start = t.column("doc").to_numpy(), t.column("start").to_numpy().astype(np.int64)
         ctx = t.column("ctx").to_pylist()
         size = np.fromiter(map(len, ctx), np.int64, len(ctx))
@@ -188,23 +205,21 @@ def _factor(batches):
         hi = np.flatnonzero(gone & stop)
         return pa.RecordBatch.from_arrays([pa.array(doc[row[lo]]), pa.array((start[row[lo]] + inner[lo]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32))], names=["doc", "start", "len"])
 
-    held: list[pa.RecordBatch] = []
-    size = 0
+    held = None
     for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        size += b.column("ctx").nbytes
-        if size >= BLOCK:
-            # the last anchor may go on in the next batch
-            all_rows = pa.Table.from_batches(held).combine_chunks()
-            h = all_rows.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
-            if cut:
-                yield solve(all_rows.slice(0, cut).to_batches())
-            held = all_rows.slice(cut).combine_chunks().to_batches()
-            size = sum(x.column("ctx").nbytes for x in held)
-    if held:
+        rows = pa.Table.from_batches([b])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        h = held.column("h").to_numpy()
+        first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1]) if len(h) else np.zeros(1, np.int64)
+        # whole anchors, about BLOCK bytes of them at a time; the last one may go on in the next batch
+        size = np.cumsum(pc.binary_length(held.column("ctx")).to_numpy()) if len(h) else np.zeros(1, np.int64)
+        block = size[first] // BLOCK
+        cuts = first[np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))].tolist()
+        cuts = [k for k in cuts if k < first[-1]] + [int(first[-1])]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield solve(held.slice(lo, hi - lo))
+        held = held.slice(cuts[-1]).combine_chunks()
+    if held is not None and held.num_rows:
         yield solve(held)
 
 
@@ -212,7 +227,7 @@ def _windows(batches):
     """Every string of each context under a 128-bit hash of its own."""
     for b in batches:
         doc, start = b.column("doc").to_numpy(), b.column("start").to_numpy()
-        for i, j, data, off in chunks(b.column("ctx").cast(pa.large_binary()).view(pa.large_string()) if b.num_rows else pa.array([], pa.large_string())):
+        for i, j, data, off in chunks(b.column("ctx").cast(pa.large_binary()).view(pa.large_string()) if b.num_rows else pa.array([], pa.large_string()), PIECE):
             n = np.diff(off) - MATCH + 1
             row = np.repeat(np.arange(j - i), n)
             inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)

@@ -172,6 +172,17 @@ def test_repeats_heavy_anchor(plain):
     assert a == b
 
 
+def test_repeats_in_long_texts(spark):
+    """Texts over several pieces, with copies from over the cuts and from within one text."""
+    a = prose(80_000, 11)
+    cut = repeats.PIECE
+    rows = [(1, a), (2, a[1000 : cut + 40_000]), (3, "x" * (cut + 500)), (4, prose(40, 12) + a[cut - 150 : cut + 150]), (5, a[-90_000:] + a[-200:])]
+    rows += [(k, a[k * 700 : k * 700 + 130 + k]) for k in range(10, 40)]
+    assert len(a) > cut
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeats(rows)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repeats_random(spark, seed):
     """Few letters, so that everything repeats somewhere."""
