@@ -58,8 +58,10 @@ TEMPLATES = [
     ("MIT", _MIT),
 ]
 THRESHOLD = 0.75
-#: A template is looked for at its rarest terms: until the others are too light for the threshold, or so many.
+#: The SQL form looks for a template at so many of its rarest terms at most; the operator at as many as the threshold needs.
 ANCHORS = 8
+#: What rounding may take from the squared weight that a unit at the threshold has in terms of its template.
+SLACK = 4e-9
 #: Files whose name marks them as the license of their directory.
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -76,7 +78,10 @@ def _spark_terms(c: Column) -> Column:
 
 
 def _vectors(templates: list[tuple[str, str]], idf: dict[str, float], threshold: float) -> list[tuple[int, str, list[str], dict[str, float], list[str]]]:
-    """``number, name, terms, unit vector, anchors`` of each template."""
+    """``number, name, terms, unit vector, anchors`` of each template.
+
+    Anchors are its rarest terms, until the others alone cannot reach the threshold: what reaches it has an anchor.
+    """
     out = []
     for k, (name, text) in enumerate(templates):
         ts = _terms(text)
@@ -85,7 +90,7 @@ def _vectors(templates: list[tuple[str, str]], idf: dict[str, float], threshold:
         unit = {t: x / norm for t, x in w.items()}
         rest, anchors = 1.0, []
         for t in sorted(unit, key=lambda t: (-round(idf[t], 9), -round(unit[t], 9), t)):
-            if rest < threshold**2 - 1e-9 or len(anchors) == ANCHORS:
+            if rest < threshold**2 - SLACK:
                 break
             anchors.append(t)
             rest -= unit[t] ** 2
@@ -93,14 +98,30 @@ def _vectors(templates: list[tuple[str, str]], idf: dict[str, float], threshold:
     return out
 
 
-def _units(k: int, ts: list[str], anchors: list[str]) -> Column:
-    """What is compared with template ``k``: from the terms ``_w`` of a text, the headers, and the whole of a license file."""
+def _texts(terms: Column, vectors: list, least: float) -> Column:
+    """Whether the terms of a text weigh enough in some template; the square of a cosine is never more than that weight."""
+    vocabulary = sorted({t for _, _, ts, *_ in vectors for t in ts})
+    squares = F.create_map(*(x for t in vocabulary for x in (F.lit(t), F.array(*(F.lit(unit.get(t, 0.0) ** 2) for *_, unit, _ in vectors)))))
+    zero = F.array(*[F.lit(0.0)] * len(vectors))
+    shared = F.array_intersect(F.array(*map(F.lit, vocabulary)), terms)
+    sums = F.aggregate(shared, zero, lambda acc, t: F.zip_with(acc, F.try_element_at(squares, t), lambda a, b: a + b))
+    return F.exists(sums, lambda x: x >= least)
+
+
+def _units(k: int, ts: list[str], unit: dict[str, float], anchors: list[str], least: float) -> Column:
+    """What is compared with template ``k``: from the terms ``_w`` of a text, the headers, and the whole of a license file.
+
+    Those whose terms weigh less than ``least`` in the template are left out, as they cannot reach the threshold.
+    """
+    own, squares = F.array(*map(F.lit, unit)), F.create_map(*(x for t, v in unit.items() for x in (F.lit(t), F.lit(v * v))))
+    enough = lambda u: F.aggregate(F.array_intersect(own, u), F.lit(0.0), lambda acc, t: acc + F.try_element_at(squares, t)) >= least
     places = F.create_map(*(x for t in anchors for x in (F.lit(t), F.array(*(F.lit(i) for i, u in enumerate(ts) if u == t)))))
     starts = F.transform("_w", lambda x, i: F.transform(F.try_element_at(places, x), lambda o: F.greatest(i - o + 1, F.lit(1))))
     starts = F.array_distinct(F.flatten(F.filter(starts, lambda x: x.isNotNull())))
-    headers = F.transform(starts, lambda s: F.array_join(F.slice("_w", s, F.lit(len(ts))), " "))
-    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.array_join("_w", " "))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array_distinct(F.concat(headers, whole)), lambda u: F.struct(F.lit(k).alias("k"), u.alias("unit")))
+    headers = F.transform(starts, lambda s: F.slice("_w", s, F.lit(len(ts))))
+    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array("_w")).otherwise(F.array().cast("array<array<string>>"))
+    texts = F.transform(F.filter(F.concat(headers, whole), enough), lambda u: F.array_join(u, " "))
+    return F.transform(F.array_distinct(texts), lambda u: F.struct(F.lit(k).alias("k"), u.alias("unit")))
 
 
 def license_scan(
@@ -119,8 +140,8 @@ def license_scan(
     nearest ancestor directory with a license file that declares one (``from_dir``;
     several such files in a directory: the highest score, then the first license
     name), else null. Terms weigh ``log((1 + texts) / (1 + texts with the term)) + 1``
-    over all texts. A template is looked for at up to eight of its rarest terms, so a
-    text that has none of them does not match it. Null and empty texts declare nothing;
+    over all texts. A template is looked for at its rarest terms, as many as the
+    threshold needs, so no run of terms that reaches it is without one. Null and empty texts declare nothing;
     a null path belongs to no directory; very long texts are read whole. Rows are told
     apart by id and path: repeated rows give equal rows. Other columns are ignored; an
     empty table gives an empty result.
@@ -137,11 +158,11 @@ def license_scan(
     idf = {w: math.log((1 + n_texts) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     vectors = _vectors(templates, idf, threshold)
 
-    # texts with an anchor, and their headers: one scan
-    anchors = sorted({t for *_, a in vectors for t in a})
-    bound = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in anchors) + ")(?![a-z0-9])"
-    hits = src.where(F.col("_t").rlike(bound)).select("doc_id", "path", _spark_terms(F.col("_t")).alias("_w"))
-    units = [_units(k, ts, own) for k, _, ts, _, own in vectors]
+    # texts that may reach the threshold, and their headers: one scan
+    least = threshold**2 - SLACK
+    terms = _spark_terms(F.col("_t"))
+    hits = src.where(_texts(terms, vectors, least)).select("doc_id", "path", terms.alias("_w"))
+    units = [_units(k, ts, unit, own, least) for k, _, ts, unit, own in vectors]
     found = hits.select("doc_id", "path", F.explode(F.flatten(F.array(*units))).alias("u")).select("doc_id", "path", "u.k", "u.unit")
     found = scratch.write(found.distinct(), "license-units")
 
