@@ -8,7 +8,8 @@ once, so a root's grandchildren are the first nodes that are looked at. A node w
 classes are all of one component ends.
 
 Small nodes are compared exhaustively on the full sets: shared shingles are counted
-by a product of incidence matrices, so a node yields components and no pairs. The
+by a product of incidence matrices, so a node yields components and no pairs. Nodes of
+the same classes, in one tree or several, are compared once. The
 members of a large node are dealt into blocks that are compared in the same way, each
 together with a few pivots of the node: this joins dense groups at once, which
 branching alone would copy down every path. Jaccard distance is a metric, so the exact
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,12 +281,22 @@ def _met(rows: DataFrame, sets: DataFrame, name: str, scratch: Scratch) -> DataF
     return scratch.write(full.mapInArrow(_compare, _FOUND), name)
 
 
+#: What tells the classes of a node: exact for two of them, with 128 bits of hash for more.
+_MEMBERS = ["size", "weight", "low", "high", "hash1", "hash2"]
+
+
+def _small() -> Column:
+    """Whether a node is compared exhaustively."""
+    return F.expr(f"size = 2 or size <= {LEAF} and weight <= {WEIGHT}")
+
+
 class _Forest:
-    """Components found so far and the walk down the trees."""
+    """Components found so far, the small nodes compared so far and the walk down the trees."""
 
     def __init__(self, tokens: DataFrame, sets: DataFrame, scratch: Scratch):
         self.tokens, self.sets, self.scratch = tokens, sets, scratch
         self.groups: DataFrame | None = None
+        self.seen: DataFrame | None = None
 
     def grouped(self, rows: DataFrame) -> DataFrame:
         if self.groups is None:
@@ -307,10 +318,20 @@ class _Forest:
         self.groups = self.scratch.write(new, name)
 
     def live(self, rows: DataFrame, name: str) -> DataFrame:
-        """``cls, n, node, grp, size, weight`` of the nodes that hold several components, from ``cls, n, node``."""
+        """``cls, n, node, grp, size, weight`` of the nodes that hold several components, from ``cls, n, node``.
+
+        Near copies meet in most nodes that they go to: of small nodes with the same classes one is compared, once.
+        """
         rows = self.scratch.write(self.grouped(rows), f"{name}-rows")
-        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"))
+        members = F.min("cls").alias("low"), F.max("cls").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("hash1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("hash2")
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"), *members)
         stats = self.scratch.write(stats.where("_a != _b").drop("_a", "_b"), f"{name}-nodes")
+        once = stats.where(_small()).groupBy(*_MEMBERS).agg(F.min("node").alias("node"))
+        if self.seen is not None:
+            once = once.join(self.seen, _MEMBERS, "left_anti")
+        once = self.scratch.write(once, f"{name}-once")
+        self.seen = once.select(*_MEMBERS) if self.seen is None else self.seen.unionByName(once.select(*_MEMBERS))
+        stats = stats.where(~_small()).unionByName(once).select("node", "size", "weight")
         # both sides are written, so that the adaptive plan splits large nodes
         return self.scratch.write(rows.join(stats, "node"), f"{name}-live")
 
@@ -318,7 +339,7 @@ class _Forest:
         for level in range(LEVELS + 1):
             tag = f"{name}-{level}"
             live = self.live(rows, tag)
-            small = F.expr(f"size = 2 or size <= {LEAF} and weight <= {WEIGHT}")
+            small = _small()
             pairs = live.where(small).select("node", F.lit(0).alias("block"), "cls", "grp", F.lit(-2).alias("pivot"))
             large = live.where(~small)
             if large.isEmpty():

@@ -120,6 +120,26 @@ def test_near(plain, odd, empty):
     assert near.near_groups(empty).collect() == []
 
 
+def test_near_compares_the_same_classes_once(spark, monkeypatch):
+    """Near copies meet in most nodes of all trees; small nodes of the same classes are compared in one of them."""
+    words = [f"w{k}" for k in range(400)]
+    changed = lambda n: " ".join("x" + w if k % 400 < n else w for k, w in enumerate(words))
+    rows = [(1, changed(0)), (2, changed(10)), (3, changed(120)), (4, changed(140)), (5, "some other words that nothing shares"), (6, changed(250))]
+    met, seen = near._met, []
+
+    def spy(rows, *args):
+        nodes = {}
+        for r in rows.where("pivot = -2").collect():
+            nodes.setdefault((r.node, r.block), set()).add(r.cls)
+        seen.extend(map(frozenset, nodes.values()))
+        return met(rows, *args)
+
+    monkeypatch.setattr(near, "_met", spy)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+    assert seen and len(seen) == len(set(seen))
+
+
 def test_near_large_groups(spark, monkeypatch):
     """Groups beyond the exhaustive size: chains of drifting copies, which only hold together link by link."""
     r = random.Random(7)
