@@ -15,7 +15,8 @@ together with a few pivots of the node: this joins dense groups at once, which
 branching alone would copy down every path. Jaccard distance is a metric, so the exact
 similarities to the pivots rule out members that cannot be linked with anything outside
 the node's largest component. What is left branches on, or, where only a bounded number
-of members is outside that component, these meet all others in blocks and the node ends.
+of members is outside that component, these meet all others in blocks and the node ends;
+nodes that have the same largest component do so as one where that makes fewer rows.
 The first tree runs alone, the others with its components known.
 
 A link at the threshold survives one tree with probability of about 0.9, so ``TREES``
@@ -46,6 +47,10 @@ LEAF, WEIGHT, PIVOTS = 256, 4 << 20, 4
 ODD = 1024
 #: Levels below the first nodes; what is large and mixed even there is compared block by block.
 LEVELS = 16
+#: Members of large nodes up to which a figure of each node is sent to all tasks.
+SENT = 1 << 18
+#: Bits of the map of the documents whose texts are needed, as a power of two: 8 MB at most.
+MAP_BITS = 26
 
 _MUL = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
@@ -152,25 +157,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _roots(batches):
-    """``cls, sig`` to ``cls, tree, node``: two picks below the root of each tree."""
+    """``cls, n, sig`` to ``cls, n, tree, node``: two picks below the root of each tree."""
     for b in batches:
         if not b.num_rows:
             continue
-        sig = _matrix(b.column(1))
+        sig = _matrix(b.column(2))
         for tree in range(TREES):
             root = mix(np.full(len(sig), tree + 1, np.uint64) * np.uint64(77))
             nodes = [y for x in _children(root, sig) for y in _children(x, sig)]
-            n = len(nodes)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0)] * n), pa.array(np.full(n * len(sig), tree, np.int32)), pa.array(np.concatenate(nodes).view(np.int64))], names=["cls", "tree", "node"])
+            k = len(nodes)
+            own = [pa.concat_arrays([b.column(i)] * k) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(k * len(sig), tree, np.int32)), pa.array(np.concatenate(nodes).view(np.int64))], names=["cls", "n", "tree", "node"])
 
 
 def _branch(batches):
-    """``cls, node, sig`` to ``cls, node`` of the children."""
+    """``cls, n, node, sig`` to ``cls, n, node`` of the children."""
     for b in batches:
         if b.num_rows:
-            node = np.array(b.column(1).to_numpy(zero_copy_only=False)).view(np.uint64)
-            kids = _children(node, _matrix(b.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0)] * 2), pa.array(np.concatenate(kids).view(np.int64))], names=["cls", "node"])
+            node = np.array(b.column(2).to_numpy(zero_copy_only=False)).view(np.uint64)
+            kids = _children(node, _matrix(b.column(3)))
+            own = [pa.concat_arrays([b.column(i)] * 2) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(kids).view(np.int64))], names=["cls", "n", "node"])
 
 
 def shared_counts(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
@@ -281,6 +288,24 @@ def _met(rows: DataFrame, sets: DataFrame, name: str, scratch: Scratch) -> DataF
     return scratch.write(full.mapInArrow(_compare, _FOUND), name)
 
 
+def _beside(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, ``total`` in all, joined with ``side``, one row for each ``key`` of them; ``size`` of ``side`` counts the rows."""
+    return rows.join(F.broadcast(side), key) if total <= SENT else join_skewed(rows, side, key, "size", total)
+
+
+def _likely(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``rows`` whose ``doc_id`` is among the ``n`` of ``ids``, and a few others; no row is shuffled.
+
+    The ids are bits of a map, 16 bits an id or more until the map has its largest size; an exact join must follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << min(MAP_BITS, max(15, (16 * n).bit_length()))))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    bits = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    placed = rows.withColumn("_bucket", bucket).withColumn("_bit", bit).join(F.broadcast(bits), "_bucket")
+    set_ = "shiftright(cast(conv(hex(substring(_bits, cast(shiftright(_bit, 3) as int) + 1, 1)), 16, 10) as int), cast(_bit & 7 as int)) & 1 = 1"
+    return placed.where(set_).select(*rows.columns)
+
+
 #: What tells the classes of a node: exact for two of them, with 128 bits of hash for more.
 _MEMBERS = ["size", "weight", "low", "high", "hash1", "hash2"]
 
@@ -322,17 +347,18 @@ class _Forest:
 
         Near copies meet in most nodes that they go to: of small nodes with the same classes one is compared, once.
         """
-        rows = self.scratch.write(self.grouped(rows), f"{name}-rows")
+        known = self.grouped(rows)
+        rows = known if self.groups is None else self.scratch.write(known, f"{name}-rows")
         members = F.min("cls").alias("low"), F.max("cls").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("hash1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("hash2")
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"), *members)
         stats = self.scratch.write(stats.where("_a != _b").drop("_a", "_b"), f"{name}-nodes")
         once = stats.where(_small()).groupBy(*_MEMBERS).agg(F.min("node").alias("node"))
         if self.seen is not None:
             once = once.join(self.seen, _MEMBERS, "left_anti")
-        once = self.scratch.write(once, f"{name}-once")
-        self.seen = once.select(*_MEMBERS) if self.seen is None else self.seen.unionByName(once.select(*_MEMBERS))
-        stats = stats.where(~_small()).unionByName(once).select("node", "size", "weight")
-        # both sides are written, so that the adaptive plan splits large nodes
+        met = stats.where(_small()).select(*_MEMBERS)
+        self.seen = met if self.seen is None else self.seen.unionByName(met)
+        stats = stats.where(~_small()).select("node", "size", "weight").unionByName(once.select("node", "size", "weight"))
+        # both sides are shuffled as they are, so that the adaptive plan splits large nodes
         return self.scratch.write(rows.join(stats, "node"), f"{name}-live")
 
     def descend(self, rows: DataFrame, name: str) -> None:
@@ -357,15 +383,14 @@ class _Forest:
             near = self.scratch.write(self.grouped(met.where("a is null").select("node", "cls", "js")), f"{tag}-near")
             kept = self.scratch.write(self.reachable(near, tag), f"{tag}-kept")
             few = F.col("odds") <= (ODD if level < LEVELS else F.col("size"))
-            self.rest(kept.where(few), f"{tag}-rest")
+            self.rest(self.pooled(kept.where(few), tag), f"{tag}-rest")
             kept = kept.where(~few)
             if kept.isEmpty():
                 return
-            rows = kept.join(self.tokens, "cls").select("cls", "node", "sig").mapInArrow(_branch, "cls long, node long")
-            rows = rows.join(self.tokens.select("cls", "n"), "cls")
+            rows = kept.join(self.tokens, "cls").select("cls", "n", "node", "sig").mapInArrow(_branch, "cls long, n long, node long")
 
     def reachable(self, near: DataFrame, name: str) -> DataFrame:
-        """``node, cls, grp, odd, size, odds``: the members, ``odd`` or not, that a link out of the largest component may concern.
+        """``node, cls, grp, odd, size, odds, main``: the members, ``odd`` or not, that a link out of the largest component, ``main``, may concern.
 
         Such a link has an odd end, one outside that component, and distances to a pivot differ by no more than the
         distance of its ends; so the other end lies within it of what odd members have. Nodes without odd members end.
@@ -373,7 +398,7 @@ class _Forest:
         main = near.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m"), F.sum("c").alias("size"))
         main = main.select("node", F.col("m.grp").alias("main"), "size")
         total = near.count()
-        marked = join_skewed(near, main, "node", "size", total).withColumn("odd", F.col("grp") != F.col("main")).drop("main", "size")
+        marked = _beside(near, main, "node", total).withColumn("odd", F.col("grp") != F.col("main")).drop("size")
         marked = self.scratch.write(marked, f"{name}-marked")
         slack = 1 - SIMILAR / 100 + 1e-9
         j = [F.col("js")[k] for k in range(PIVOTS)]
@@ -383,7 +408,21 @@ class _Forest:
         inside = F.lit(True)
         for k, x in enumerate(j):
             inside = inside & x.between(F.col(f"_lo{k}") - slack, F.col(f"_hi{k}") + slack)
-        return join_skewed(marked, bounds, "node", "size", total).where(inside).select("node", "cls", "grp", "odd", "size", "odds")
+        return _beside(marked, bounds, "node", total).where(inside).select("node", "cls", "grp", "odd", "size", "odds", "main")
+
+    def pooled(self, kept: DataFrame, name: str) -> DataFrame:
+        """Nodes that have the same largest component as one node, where that makes fewer rows than each by itself.
+
+        A dense group is in several nodes of each tree, and most of its members are in most of them.
+        """
+        pool = kept.select(F.col("main").alias("node"), "cls", "grp", "odd").distinct()
+        sizes = pool.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("odd"), 1)).alias("odds"))
+        each = kept.groupBy(F.col("main").alias("node")).agg(F.sum(F.col("odds") + F.when(F.col("odd"), F.col("size")).otherwise(0)).alias("_each"))
+        sizes = self.scratch.write(sizes.join(each, "node").withColumn("_one", 2 * F.col("size") * F.col("odds") <= F.col("_each")), f"{name}-pools")
+        total = kept.count()
+        whole = _beside(pool, sizes.where("_one").drop("_one", "_each"), "node", total)
+        apart = kept.join(sizes.where("not _one").select(F.col("node").alias("main")), "main", "left_semi")
+        return self.scratch.write(whole.unionByName(apart.select(*whole.columns)), f"{name}-pooled")
 
     def rest(self, kept: DataFrame, name: str) -> None:
         """Odd members against all members of their node, block by block, each pair of blocks a comparison of its own."""
@@ -420,14 +459,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sigs = scratch.write(src.mapInArrow(_signatures, schema), "near-signatures")
     grouped = sigs.where("doc_id is not null and key.n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.write(grouped.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
-    tokens = classes.select("cls", "sig", F.col("key.n").alias("n"))
+    tokens = classes.select("cls", F.col("key.n").alias("n"), "sig")
 
-    rows = tokens.select("cls", "sig").mapInArrow(_roots, "cls long, tree int, node long")
+    rows = tokens.mapInArrow(_roots, "cls long, n long, tree int, node long")
     rows = scratch.write(rows, "near-roots")
     shared = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
-    live = scratch.write(rows.join(shared, "node").drop("size").join(tokens.select("cls", "n"), "cls"), "near-starts")
+    live = scratch.write(rows.join(shared, "node").drop("size"), "near-starts")
     need = live.select("cls").distinct().join(classes, "cls").select("cls", "key", F.col("first").alias("_first"))
-    texts = src.join(need, F.col("doc_id") == F.col("_first")).select("cls", "key", "text")
+    need = scratch.write(need, "near-need")
+    texts = _likely(src, need.select(F.col("_first").alias("doc_id")), need.count())
+    texts = texts.join(need, F.col("doc_id") == F.col("_first")).select("cls", "key", "text")
     sets = scratch.write(texts.mapInArrow(_sets, "cls long, set binary"), "near-sets")
     forest = _Forest(tokens, sets, scratch)
     forest.descend(live.where("tree = 0").drop("tree"), "near-first")
@@ -437,8 +478,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if forest.groups is None:
         found = found.withColumn("component", F.col("first"))
     else:
-        named = forest.groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("component"))
-        linked = join_skewed(forest.groups, named.join(forest.groups.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")), "grp"), "grp", "_n", forest.groups.count())
+        named = forest.groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("_n"))
+        linked = join_skewed(forest.groups, named, "grp", "_n", forest.groups.count())
         found = found.join(linked.select("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "first"))
     found = scratch.write(found.select("key", "component", "copies"), "near-found")
     total = sigs.count()

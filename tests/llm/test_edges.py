@@ -156,6 +156,47 @@ def test_near_large_groups(spark, monkeypatch):
     assert got == brute.near([(i, t) for i, t, *_ in rows])
 
 
+def test_near_dense_group_meets_once(spark, monkeypatch):
+    """A dense group is in many large nodes; its members outside the largest component are compared with it once, in no more rows than node by node."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 8)):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    for name, v in (("LEAF", 8), ("ODD", 1000)):
+        monkeypatch.setattr(near, name, v)
+    pooled, seen = near._Forest.pooled, []
+
+    def spy(self, kept, name):
+        out = pooled(self, kept, name)
+        found = []
+        for df in (kept, out):
+            nodes = {}
+            for r in df.collect():
+                nodes.setdefault(r.node, []).append(r)
+            found.append((sum(r.odds + (r.size if r.odd else 0) for n in nodes.values() for r in n), {(a.cls, b.cls) for n in nodes.values() for a in n for b in n if a.odd}))
+        seen.append(found)
+        return out
+
+    monkeypatch.setattr(near._Forest, "pooled", spy)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+    assert all(after[0] <= before[0] and after[1] >= before[1] for before, after in seen)
+    assert sum(after[0] for _, after in seen) < 0.7 * sum(before[0] for before, _ in seen)
+
+
+def test_near_reads_needed_texts_only(spark):
+    """The texts of documents that share no node are left out before the shuffle; none that is needed is."""
+    have = spark.range(40_000).selectExpr("id as doc_id", "'t' as text")
+    ids = spark.range(0, 40_000, 40).withColumnRenamed("id", "doc_id")
+    left = {r.doc_id for r in near._likely(have, ids, 1000).collect()}
+    assert left >= set(range(0, 40_000, 40)) and len(left) < 6000
+    assert near._likely(have, ids.limit(0), 0).count() == 0
+
+
 def test_repeats(plain, odd, empty):
     want = brute.repeats([(i, t) for i, t, *_ in ROWS])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(plain).collect()}
