@@ -7,6 +7,13 @@ for each of them, named by the token it has there; the first two picks are made
 once, so a root's grandchildren are the first nodes that are looked at. A node whose
 classes are all of one component ends.
 
+A node of up to ``SCREEN`` classes is first cut into the groups that hold together by
+pairs which may be links: of sizes that allow it and alike in ``ALIKE`` tokens or more,
+compared by 8 bits each. So classes that merely share a passage go no further, and only
+the others' texts are read. Groups of all nodes and trees that share classes make up a
+cluster. A small cluster is compared exhaustively, once, so each of its sets travels once;
+what follows is for the classes of larger clusters.
+
 Small nodes are compared exhaustively on the full sets: shared shingles are counted
 by a product of incidence matrices, so a node yields components and no pairs. Nodes of
 the same classes, in one tree or several, are compared once. The
@@ -45,6 +52,9 @@ TOKENS, TREES = 64, 4
 LEAF, WEIGHT, PIVOTS = 256, 4 << 20, 4
 #: A large node with no more members outside its largest component compares these with all others and ends.
 ODD = 1024
+#: Classes of a node that is cut by its members' tokens; tokens of ``TOKENS`` that a pair must share there.
+#: A link at the threshold shares fewer with probability of under 1 in 10^7 (Chernoff: 1.0e-8).
+SCREEN, ALIKE = 2048, 26
 #: Levels below the first nodes; what is large and mixed even there is compared block by block.
 LEVELS = 16
 #: Members of large nodes up to which a figure of each node is sent to all tasks.
@@ -126,18 +136,19 @@ def _signatures(batches):
 
 
 def _sets(batches):
-    """``cls, key, text`` to ``cls, set`` of the rows whose text has that key."""
+    """``cls, node, key, text`` to ``cls, node, set`` of the rows whose text has that key."""
     for b in batches:
-        cls, want = b.column(0).to_pylist(), b.column(1).to_pylist()
+        cls, node, want = (b.column(k).to_pylist() for k in range(3))
         k = 0
-        for g, off in shingled(b.column(2)):
+        for g, off in shingled(b.column(3)):
             out = []
             for x, y in zip(off[:-1], off[1:]):
                 s = np.unique(g[x:y])
                 if _digest(s) == tuple(want[k].values()):
-                    out.append((cls[k], s.tobytes()))
+                    out.append((cls[k], node[k], s.tobytes()))
                 k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["cls", "set"])
+            types = pa.int64(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["cls", "node", "set"])
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
@@ -170,6 +181,55 @@ def _roots(batches):
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(k * len(sig), tree, np.int32)), pa.array(np.concatenate(nodes).view(np.int64))], names=["cls", "n", "tree", "node"])
 
 
+def _sketches(batches):
+    """``cls, sig`` to ``cls, sketch``: 8 bits of each token."""
+    for b in batches:
+        low = np.ascontiguousarray(_matrix(b.column(1)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in low], pa.binary())], names=["cls", "sketch"])
+
+
+def _may_link(sketch: np.ndarray, n: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether classes with these sketches and set sizes may be links of the others, along all but the sketches' last axis."""
+    same = np.zeros(np.broadcast_shapes(n.shape, sizes.shape), np.uint8)
+    for k in range(TOKENS):
+        same += sketch[..., k] == others[..., k]
+    return (same >= ALIKE) & (100 * n >= SIMILAR * sizes) & (100 * sizes >= SIMILAR * n)
+
+
+def _screen(batches):
+    """``cls, n, tree, node, sketch`` in order of node and class to ``cls, n, tree, node, low`` of the groups that may hold links; each becomes a node, ``low`` its smallest class."""
+
+    def cut(cls, n, tree, node, sketch):
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        ends = np.append(first[1:], len(node))
+        label = np.arange(len(node))
+        two = first[ends - first == 2]
+        two = two[_may_link(sketch[two], n[two], sketch[two + 1], n[two + 1])]
+        label[two + 1] = two
+        for a, b in zip(first, ends):
+            if b - a > 2:
+                label[a:b] = a + _merged(_may_link(sketch[a:b, None], n[a:b, None], sketch[None, a:b], n[None, a:b]))
+        keep = np.bincount(label, minlength=len(label))[label] > 1
+        name = mix(node.view(np.uint64) ^ mix(cls[label].view(np.uint64) + np.uint64(1)))
+        cols = cls[keep], n[keep], tree[keep], name[keep].view(np.int64), cls[label][keep]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["cls", "n", "tree", "node", "low"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [np.array(b.column(k).to_numpy(zero_copy_only=False)) for k in range(4)]
+        rows.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, TOKENS))
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        last = int(np.searchsorted(rows[3], rows[3][-1]))  # the last node may go on in the next batch
+        if last:
+            yield cut(*(x[:last] for x in rows))
+        held = [x[last:] for x in rows]
+    if held is not None:
+        yield cut(*held)
+
+
 def _branch(batches):
     """``cls, n, node, sig`` to ``cls, n, node`` of the children."""
     for b in batches:
@@ -204,24 +264,24 @@ def shared_counts(sets: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
 def _merged(link: np.ndarray) -> np.ndarray:
     """For each row of a symmetric link matrix the smallest row that it reaches."""
     m = len(link)
-    label = np.arange(m)
+    label = np.arange(m, dtype=np.int32)
     link = link | np.eye(m, dtype=bool)
     while True:
-        low = np.where(link, label[None, :], m).min(axis=1)
+        low = np.where(link, label[None, :], np.int32(m)).min(axis=1)
         low = low[low]
         if (low == label).all():
             return label
         label = low
 
 
-_FOUND = "a long, b long, node long, cls long, js array<double>"
+_FOUND = "a long, b long, node long, cls long, n long, js array<double>"
 
 
 def _compare(batches):
     """Rows ``node, block, cls, grp, pivot, set`` in order of node and block; ``pivot`` is -1 for a plain member of a
     large node, -2 in a small one.
 
-    Gives ``a, b``, groups that links of full sets join, and for members of large nodes their similarities to the pivots.
+    Gives ``a, b``, groups that links of full sets join, and for members of large nodes their set sizes and similarities to the pivots.
     """
 
     def solve(cls, grp, pivot, sets):
@@ -243,27 +303,27 @@ def _compare(batches):
         if heads:
             near = both / union
             cols = [k for _, k in dict(heads).items()]
-            rows = [(c, near[place[c], cols].tolist()) for c in dict.fromkeys(c for c, p in zip(cls, pivot) if p == -1)]
+            rows = [(c, len(s[place[c]]), near[place[c], cols].tolist()) for c in dict.fromkeys(c for c, p in zip(cls, pivot) if p == -1)]
         return joined, rows
 
     held, last = [], None
-    out = [[], [], [], [], []]
+    out = [[], [], [], [], [], []]
 
     def flush():
         nonlocal held
         if held:
             joined, rows = solve(*zip(*held))
             for a, b in joined:
-                for col, v in zip(out, (a, b, None, None, None)):
+                for col, v in zip(out, (a, b, None, None, None, None)):
                     col.append(v)
-            for c, js in rows:
-                for col, v in zip(out, (None, None, last[0], c, js)):
+            for c, n, js in rows:
+                for col, v in zip(out, (None, None, last[0], c, n, js)):
                     col.append(v)
         held = []
 
     def batch():
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
-        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["a", "b", "node", "cls", "js"])
+        types = (*[pa.int64()] * 5, pa.list_(pa.float64()))
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["a", "b", "node", "cls", "n", "js"])
         for c in out:
             c.clear()
         return done
@@ -281,9 +341,9 @@ def _compare(batches):
     yield batch()
 
 
-def _met(rows: DataFrame, sets: DataFrame, name: str, scratch: Scratch) -> DataFrame:
-    """What :func:`_compare` finds among ``node, block, cls, grp, pivot``."""
-    full = rows.join(sets, "cls").select("node", "block", "cls", "grp", "pivot", "set")
+def _met(rows: DataFrame, sets: DataFrame | None, name: str, scratch: Scratch) -> DataFrame:
+    """What :func:`_compare` finds among ``node, block, cls, grp, pivot``; without ``sets`` the rows have them."""
+    full = (rows if sets is None else rows.join(sets, "cls")).select("node", "block", "cls", "grp", "pivot", "set")
     full = full.repartition("node", "block").sortWithinPartitions("node", "block")
     return scratch.write(full.mapInArrow(_compare, _FOUND), name)
 
@@ -293,6 +353,15 @@ def _beside(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame
     return rows.join(F.broadcast(side), key) if total <= SENT else join_skewed(rows, side, key, "size", total)
 
 
+def _screened(rows: DataFrame, sketches: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``cls, n, tree, node, low`` of the nodes that may hold links, with their smallest class; a node of up to ``SCREEN`` classes is cut by their sketches."""
+    shared = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("low")).where("size > 1"), f"{name}-shared")
+    met = scratch.write(rows.join(shared, "node").select("cls", "n", "tree", "node", "low", "size"), f"{name}-meeting")
+    some = met.where(F.col("size") <= SCREEN).join(sketches, "cls").select("cls", "n", "tree", "node", "sketch")
+    some = some.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(_screen, "cls long, n long, tree int, node long, low long")
+    return scratch.write(some.unionByName(met.where(F.col("size") > SCREEN).drop("size")), f"{name}-starts")
+
+
 def _likely(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """The rows of ``rows`` whose ``doc_id`` is among the ``n`` of ``ids``, and a few others; no row is shuffled.
 
@@ -318,8 +387,8 @@ def _small() -> Column:
 class _Forest:
     """Components found so far, the small nodes compared so far and the walk down the trees."""
 
-    def __init__(self, tokens: DataFrame, sets: DataFrame, scratch: Scratch):
-        self.tokens, self.sets, self.scratch = tokens, sets, scratch
+    def __init__(self, tokens: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: Scratch):
+        self.tokens, self.sketches, self.sets, self.scratch = tokens, sketches, sets, scratch
         self.groups: DataFrame | None = None
         self.seen: DataFrame | None = None
 
@@ -380,17 +449,18 @@ class _Forest:
             members = large.select("node", "block", "cls", "grp", F.lit(-1).alias("pivot"))
             met = _met(pairs.unionByName(members).unionByName(pivots), self.sets, f"{tag}-met", self.scratch)
             self.learn(met.where("a is not null").select("a", "b"), f"{tag}-groups")
-            near = self.scratch.write(self.grouped(met.where("a is null").select("node", "cls", "js")), f"{tag}-near")
+            near = self.scratch.write(self.grouped(met.where("a is null").select("node", "cls", "n", "js")), f"{tag}-near")
             kept = self.scratch.write(self.reachable(near, tag), f"{tag}-kept")
             few = F.col("odds") <= (ODD if level < LEVELS else F.col("size"))
             self.rest(self.pooled(kept.where(few), tag), f"{tag}-rest")
             kept = kept.where(~few)
             if kept.isEmpty():
                 return
-            rows = kept.join(self.tokens, "cls").select("cls", "n", "node", "sig").mapInArrow(_branch, "cls long, n long, node long")
+            rows = kept.drop("n").join(self.tokens, "cls").select("cls", "n", "node", "sig").mapInArrow(_branch, "cls long, n long, node long")
+            rows = _screened(self.scratch.write(rows.withColumn("tree", F.lit(0)), f"{tag}-kids"), self.sketches, self.scratch, tag).drop("tree", "low")
 
     def reachable(self, near: DataFrame, name: str) -> DataFrame:
-        """``node, cls, grp, odd, size, odds, main``: the members, ``odd`` or not, that a link out of the largest component, ``main``, may concern.
+        """``node, cls, n, grp, odd, size, weight, odds, main``: the members, ``odd`` or not, that a link out of the largest component, ``main``, may concern.
 
         Such a link has an odd end, one outside that component, and distances to a pivot differ by no more than the
         distance of its ends; so the other end lies within it of what odd members have. Nodes without odd members end.
@@ -403,20 +473,20 @@ class _Forest:
         slack = 1 - SIMILAR / 100 + 1e-9
         j = [F.col("js")[k] for k in range(PIVOTS)]
         when = [F.when(F.col("odd"), x) for x in j]
-        bounds = marked.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("odd"), 1)).alias("odds"), *(F.min(x).alias(f"_lo{k}") for k, x in enumerate(when)), *(F.max(x).alias(f"_hi{k}") for k, x in enumerate(when)))
+        bounds = marked.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count(F.when(F.col("odd"), 1)).alias("odds"), *(F.min(x).alias(f"_lo{k}") for k, x in enumerate(when)), *(F.max(x).alias(f"_hi{k}") for k, x in enumerate(when)))
         bounds = bounds.where("odds > 0")
         inside = F.lit(True)
         for k, x in enumerate(j):
             inside = inside & x.between(F.col(f"_lo{k}") - slack, F.col(f"_hi{k}") + slack)
-        return _beside(marked, bounds, "node", total).where(inside).select("node", "cls", "grp", "odd", "size", "odds", "main")
+        return _beside(marked, bounds, "node", total).where(inside).select("node", "cls", "n", "grp", "odd", "size", "weight", "odds", "main")
 
     def pooled(self, kept: DataFrame, name: str) -> DataFrame:
         """Nodes that have the same largest component as one node, where that makes fewer rows than each by itself.
 
         A dense group is in several nodes of each tree, and most of its members are in most of them.
         """
-        pool = kept.select(F.col("main").alias("node"), "cls", "grp", "odd").distinct()
-        sizes = pool.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("odd"), 1)).alias("odds"))
+        pool = kept.select(F.col("main").alias("node"), "cls", "n", "grp", "odd").distinct()
+        sizes = pool.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count(F.when(F.col("odd"), 1)).alias("odds"))
         each = kept.groupBy(F.col("main").alias("node")).agg(F.sum(F.col("odds") + F.when(F.col("odd"), F.col("size")).otherwise(0)).alias("_each"))
         sizes = self.scratch.write(sizes.join(each, "node").withColumn("_one", 2 * F.col("size") * F.col("odds") <= F.col("_each")), f"{name}-pools")
         total = kept.count()
@@ -426,7 +496,8 @@ class _Forest:
 
     def rest(self, kept: DataFrame, name: str) -> None:
         """Odd members against all members of their node, block by block, each pair of blocks a comparison of its own."""
-        half = LEAF // 2
+        # light sets meet in larger blocks: a member comes once for each block of the others
+        half = F.least(F.lit(2 * LEAF), F.greatest(F.lit(LEAF // 2), F.floor(F.lit(WEIGHT // 2) * F.col("size") / F.col("weight"))))
         n_all, n_odd = F.ceil(F.col("size") / half).cast("int").alias("_all"), F.ceil(F.col("odds") / half).cast("int").alias("_odd")
         rows = kept.select("node", "cls", "grp", "odd", n_all, n_odd)
         deal = F.xxhash64("cls", F.lit(99))
@@ -463,23 +534,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = tokens.mapInArrow(_roots, "cls long, n long, tree int, node long")
     rows = scratch.write(rows, "near-roots")
-    shared = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-shared")
-    live = scratch.write(rows.join(shared, "node").drop("size"), "near-starts")
-    need = live.select("cls").distinct().join(classes, "cls").select("cls", "key", F.col("first").alias("_first"))
+    sketches = tokens.select("cls", "sig").mapInArrow(_sketches, "cls long, sketch binary")
+    live = _screened(rows, sketches, scratch, "near")
+    pairs = live.where("cls != low").select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    clusters = components(pairs.distinct(), scratch).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    need = clusters.join(classes, "cls").select("cls", "cluster", F.col("key.n").alias("n"), "key", F.col("first").alias("_first"))
     need = scratch.write(need, "near-need")
-    texts = _likely(src, need.select(F.col("_first").alias("doc_id")), need.count())
-    texts = texts.join(need, F.col("doc_id") == F.col("_first")).select("cls", "key", "text")
-    sets = scratch.write(texts.mapInArrow(_sets, "cls long, set binary"), "near-sets")
-    forest = _Forest(tokens, sets, scratch)
-    forest.descend(live.where("tree = 0").drop("tree"), "near-first")
-    forest.descend(live.where("tree > 0").drop("tree"), "near-others")
+    total = need.count()
+    sizes = scratch.write(need.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "near-clusters")
+    # node: the cluster, where it is small
+    need = _beside(need, sizes, "cluster", total).select("cls", F.when(_small(), F.col("cluster")).alias("node"), "key", "_first")
+    need = scratch.write(need, "near-needed")
+    texts = _likely(src, need.select(F.col("_first").alias("doc_id")), total)
+    texts = texts.join(need, F.col("doc_id") == F.col("_first")).select("cls", "node", "key", "text")
+    sets = scratch.write(texts.mapInArrow(_sets, "cls long, node long, set binary"), "near-sets")
+    small = sets.where("node is not null").select("node", F.lit(0).alias("block"), "cls", F.col("cls").alias("grp"), F.lit(-2).alias("pivot"), "set")
+    alone = _Forest(tokens, sketches, sets, scratch)
+    alone.learn(_met(small, None, "near-small-met", scratch).select("a", "b"), "near-small")
+    forest = _Forest(tokens, sketches, sets.where("node is null").select("cls", "set"), scratch)
+    live = scratch.write(live.join(need.where("node is null").select("cls"), "cls", "left_semi"), "near-large")
+    if not live.isEmpty():
+        forest.descend(live.where("tree = 0").select("cls", "n", "node"), "near-first")
+        forest.descend(live.where("tree > 0").select("cls", "n", "node"), "near-others")
 
     found = classes.select("key", "cls", "first", "copies")
-    if forest.groups is None:
+    groups = [x.groups for x in (alone, forest) if x.groups is not None]
+    if not groups:
         found = found.withColumn("component", F.col("first"))
     else:
-        named = forest.groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("_n"))
-        linked = join_skewed(forest.groups, named, "grp", "_n", forest.groups.count())
+        groups = groups[0] if len(groups) == 1 else groups[0].unionByName(groups[1])
+        named = groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("_n"))
+        linked = join_skewed(groups, named, "grp", "_n", groups.count())
         found = found.join(linked.select("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "first"))
     found = scratch.write(found.select("key", "component", "copies"), "near-found")
     total = sigs.count()

@@ -188,6 +188,88 @@ def test_near_dense_group_meets_once(spark, monkeypatch):
     assert sum(after[0] for _, after in seen) < 0.7 * sum(before[0] for before, _ in seen)
 
 
+def test_near_sends_each_set_once(spark, monkeypatch):
+    """Classes of a small cluster are compared in one node, whichever nodes of the trees they share; those that share but a passage are not compared at all."""
+    rng = random.Random(11)
+    rows, passage = [], [f"p{k}" for k in range(60)]
+    for family in range(5):
+        base = [f"f{family}-{k}" for k in range(150)]
+        for i in range(5):
+            words = list(base)
+            for k in rng.sample(range(150), 1 + 3 * i):  # some of a family are links, some are not
+                words[k] = f"x{family}-{i}-{k}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(passage + [f"o{i}-{k}" for k in range(90)])) for i in range(20)]
+    met, seen = near._met, []
+
+    def spy(rows, *args):
+        seen.extend(r.cls for r in rows.collect())
+        return met(rows, *args)
+
+    monkeypatch.setattr(near, "_met", spy)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+    assert 1 < len({c for i, (_, c) in got.items() if i < 5}) < 5
+    assert len(seen) == len(set(seen)) <= 25
+
+
+def test_near_screen_keeps_nodes_over_batches():
+    """A node is cut alike wherever the batches end, and nodes over batches are not torn."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    groups = [rng.integers(0, 256, near.TOKENS, dtype=np.uint8) for _ in range(4)]
+    rows = [(c, 100 + c % 3, 0, node, groups[(c + node) % 4].tobytes()) for node in range(6) for c in range(node * 7, node * 7 + 2 + node * 2)]
+    rows.append((1000, 100, 0, 6, groups[0].tobytes()))
+    rows.append((1001, 10, 0, 6, groups[0].tobytes()))  # alike, but of a size that no link can have
+    names = ["cls", "n", "tree", "node", "sketch"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def run(step):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + step]), types)], names=names) for k in range(0, len(rows), step)]
+        return sorted(tuple(r.values()) for b in near._screen(iter(batches)) for r in b.to_pylist())
+
+    whole = run(len(rows))
+    assert whole and all(run(step) == whole for step in (1, 3, 8))
+    want = {}
+    for c, n, _, node, sketch in rows[:-2]:
+        want.setdefault((node, sketch), []).append(c)
+    found = {}
+    for c, _, _, node, low in whole:
+        found.setdefault((node, low), []).append(c)
+    assert sorted(found.values()) == sorted(v for v in want.values() if len(v) > 1)
+
+
+def test_near_light_sets_meet_in_large_blocks(spark, monkeypatch):
+    """Members outside the largest component meet the others in few rows where sets are light."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 8)):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    for name, v in (("LEAF", 8), ("ODD", 1000)):
+        monkeypatch.setattr(near, name, v)
+    rest, met, most, made = near._Forest.rest, near._met, [], []
+
+    def spy_rest(self, kept, name):
+        most.extend(2 * r.size * r.odds / 16 + r.size + r.odds for r in kept.select("node", "size", "odds").distinct().collect())
+        return rest(self, kept, name)
+
+    def spy_met(rows, sets, name, scratch):
+        made.append(rows.count() if "rest" in name else 0)
+        return met(rows, sets, name, scratch)
+
+    monkeypatch.setattr(near._Forest, "rest", spy_rest)
+    monkeypatch.setattr(near, "_met", spy_met)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+    assert 0 < sum(made) <= sum(most)
+
+
 def test_near_reads_needed_texts_only(spark):
     """The texts of documents that share no node are left out before the shuffle; none that is needed is."""
     have = spark.range(40_000).selectExpr("id as doc_id", "'t' as text")
