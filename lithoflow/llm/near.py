@@ -24,7 +24,8 @@ similarities to the pivots rule out members that cannot be linked with anything
 the node's largest component. What is left branches on, or, where only a bounded number
 of members is outside that component, these meet all others in blocks and the node ends;
 nodes that have the same largest component do so as one where that makes fewer rows.
-The first tree runs alone, the others with its components known.
+The first tree runs alone, the others with its components known; where few members
+are left, all trees go down at once, as rounds cost more than comparisons there.
 
 A link at the threshold survives one tree with probability of about 0.9, so ``TREES``
 of them miss it with less than 1 in 5000; links above it and groups of several links
@@ -59,6 +60,8 @@ SCREEN, ALIKE = 2048, 26
 LEVELS = 16
 #: Members of large nodes up to which a figure of each node is sent to all tasks.
 SENT = 1 << 18
+#: Counted rows, without their sets, that are summed in one task, so that nothing is shuffled; rows of a comparison never are.
+FEW = 1 << 16
 #: Bits of the map of the documents whose texts are needed, as a power of two: 8 MB at most.
 MAP_BITS = 26
 
@@ -353,6 +356,11 @@ def _beside(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame
     return rows.join(F.broadcast(side), key) if total <= SENT else join_skewed(rows, side, key, "size", total)
 
 
+def _few(df: DataFrame, total: int) -> DataFrame:
+    """``df`` of ``total`` rows of written tables: in one task where they are few."""
+    return df.coalesce(1) if total <= FEW else df
+
+
 def _screened(rows: DataFrame, sketches: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``cls, n, tree, node, low`` of the nodes that may hold links, with their smallest class; a node of up to ``SCREEN`` classes is cut by their sketches."""
     shared = scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("low")).where("size > 1"), f"{name}-shared")
@@ -418,17 +426,18 @@ class _Forest:
         """
         known = self.grouped(rows)
         rows = known if self.groups is None else self.scratch.write(known, f"{name}-rows")
+        total = rows.count()
         members = F.min("cls").alias("low"), F.max("cls").alias("high"), F.bit_xor(F.xxhash64("cls")).alias("hash1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("hash2")
-        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"), *members)
+        stats = _few(rows, total).groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("grp").alias("_a"), F.max("grp").alias("_b"), *members)
         stats = self.scratch.write(stats.where("_a != _b").drop("_a", "_b"), f"{name}-nodes")
-        once = stats.where(_small()).groupBy(*_MEMBERS).agg(F.min("node").alias("node"))
+        once = _few(stats, total).where(_small()).groupBy(*_MEMBERS).agg(F.min("node").alias("node"))
         if self.seen is not None:
             once = once.join(self.seen, _MEMBERS, "left_anti")
         met = stats.where(_small()).select(*_MEMBERS)
         self.seen = met if self.seen is None else self.seen.unionByName(met)
         stats = stats.where(~_small()).select("node", "size", "weight").unionByName(once.select("node", "size", "weight"))
-        # both sides are shuffled as they are, so that the adaptive plan splits large nodes
-        return self.scratch.write(rows.join(stats, "node"), f"{name}-live")
+        # where there are many, both sides are shuffled as they are, so that the adaptive plan splits large nodes
+        return self.scratch.write(rows.join(F.broadcast(stats) if total <= FEW else stats, "node"), f"{name}-live")
 
     def descend(self, rows: DataFrame, name: str) -> None:
         for level in range(LEVELS + 1):
@@ -443,7 +452,7 @@ class _Forest:
             blocks = F.ceil(F.greatest(F.col("size") / LEAF, F.col("weight") / WEIGHT)).cast("int")
             large = large.withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(level)), "_blocks").cast("int"))
             head = [F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "grp")).alias(f"_{k}") for k in range(PIVOTS)]
-            heads = large.groupBy("node", "_blocks").agg(*head)
+            heads = _few(large, live.count()).groupBy("node", "_blocks").agg(*head)
             pivots = heads.select("node", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.array(*(f"_{k}" for k in range(PIVOTS))).alias("_p"))
             pivots = pivots.select("node", "block", F.posexplode("_p").alias("pivot", "_p")).select("node", "block", "_p.cls", "_p.grp", "pivot")
             members = large.select("node", "block", "cls", "grp", F.lit(-1).alias("pivot"))
@@ -465,15 +474,15 @@ class _Forest:
         Such a link has an odd end, one outside that component, and distances to a pivot differ by no more than the
         distance of its ends; so the other end lies within it of what odd members have. Nodes without odd members end.
         """
-        main = near.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m"), F.sum("c").alias("size"))
-        main = main.select("node", F.col("m.grp").alias("main"), "size")
         total = near.count()
+        main = _few(near, total).groupBy("node", "grp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "grp")).alias("m"), F.sum("c").alias("size"))
+        main = main.select("node", F.col("m.grp").alias("main"), "size")
         marked = _beside(near, main, "node", total).withColumn("odd", F.col("grp") != F.col("main")).drop("size")
         marked = self.scratch.write(marked, f"{name}-marked")
         slack = 1 - SIMILAR / 100 + 1e-9
         j = [F.col("js")[k] for k in range(PIVOTS)]
         when = [F.when(F.col("odd"), x) for x in j]
-        bounds = marked.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count(F.when(F.col("odd"), 1)).alias("odds"), *(F.min(x).alias(f"_lo{k}") for k, x in enumerate(when)), *(F.max(x).alias(f"_hi{k}") for k, x in enumerate(when)))
+        bounds = _few(marked, total).groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count(F.when(F.col("odd"), 1)).alias("odds"), *(F.min(x).alias(f"_lo{k}") for k, x in enumerate(when)), *(F.max(x).alias(f"_hi{k}") for k, x in enumerate(when)))
         bounds = bounds.where("odds > 0")
         inside = F.lit(True)
         for k, x in enumerate(j):
@@ -485,11 +494,11 @@ class _Forest:
 
         A dense group is in several nodes of each tree, and most of its members are in most of them.
         """
-        pool = kept.select(F.col("main").alias("node"), "cls", "n", "grp", "odd").distinct()
+        total = kept.count()
+        pool = _few(kept, total).select(F.col("main").alias("node"), "cls", "n", "grp", "odd").distinct()
         sizes = pool.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.count(F.when(F.col("odd"), 1)).alias("odds"))
-        each = kept.groupBy(F.col("main").alias("node")).agg(F.sum(F.col("odds") + F.when(F.col("odd"), F.col("size")).otherwise(0)).alias("_each"))
+        each = _few(kept, total).groupBy(F.col("main").alias("node")).agg(F.sum(F.col("odds") + F.when(F.col("odd"), F.col("size")).otherwise(0)).alias("_each"))
         sizes = self.scratch.write(sizes.join(each, "node").withColumn("_one", 2 * F.col("size") * F.col("odds") <= F.col("_each")), f"{name}-pools")
-        total = kept.count()
         whole = _beside(pool, sizes.where("_one").drop("_one", "_each"), "node", total)
         apart = kept.join(sizes.where("not _one").select(F.col("node").alias("main")), "main", "left_semi")
         return self.scratch.write(whole.unionByName(apart.select(*whole.columns)), f"{name}-pooled")
@@ -541,7 +550,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     need = clusters.join(classes, "cls").select("cls", "cluster", F.col("key.n").alias("n"), "key", F.col("first").alias("_first"))
     need = scratch.write(need, "near-need")
     total = need.count()
-    sizes = scratch.write(need.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "near-clusters")
+    sizes = scratch.write(_few(need, total).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "near-clusters")
     # node: the cluster, where it is small
     need = _beside(need, sizes, "cluster", total).select("cls", F.when(_small(), F.col("cluster")).alias("node"), "key", "_first")
     need = scratch.write(need, "near-needed")
@@ -549,23 +558,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = texts.join(need, F.col("doc_id") == F.col("_first")).select("cls", "node", "key", "text")
     sets = scratch.write(texts.mapInArrow(_sets, "cls long, node long, set binary"), "near-sets")
     small = sets.where("node is not null").select("node", F.lit(0).alias("block"), "cls", F.col("cls").alias("grp"), F.lit(-2).alias("pivot"), "set")
-    alone = _Forest(tokens, sketches, sets, scratch)
-    alone.learn(_met(small, None, "near-small-met", scratch).select("a", "b"), "near-small")
+    # a small cluster is compared once, so its links are stars already
+    stars = _few(_met(small, None, "near-small-met", scratch), total).select(F.explode(F.array(*(F.struct(F.col(x).alias("cls"), F.col("b").alias("grp")) for x in "ab"))).alias("_s"))
+    groups = scratch.write(stars.select("_s.cls", "_s.grp").distinct(), "near-small")
     forest = _Forest(tokens, sketches, sets.where("node is null").select("cls", "set"), scratch)
     live = scratch.write(live.join(need.where("node is null").select("cls"), "cls", "left_semi"), "near-large")
-    if not live.isEmpty():
+    members = live.count()
+    if 0 < members <= SENT:
+        forest.descend(live.select("cls", "n", "node"), "near-all")
+    elif members:
         forest.descend(live.where("tree = 0").select("cls", "n", "node"), "near-first")
         forest.descend(live.where("tree > 0").select("cls", "n", "node"), "near-others")
-
-    found = classes.select("key", "cls", "first", "copies")
-    groups = [x.groups for x in (alone, forest) if x.groups is not None]
-    if not groups:
-        found = found.withColumn("component", F.col("first"))
-    else:
-        groups = groups[0] if len(groups) == 1 else groups[0].unionByName(groups[1])
-        named = groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("_n"))
-        linked = join_skewed(groups, named, "grp", "_n", groups.count())
-        found = found.join(linked.select("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "first"))
+    if forest.groups is not None:
+        groups = groups.unionByName(forest.groups)
+
+    many = groups.count()
+    first = _few(need, total).select("cls", F.col("_first").alias("first"))
+    named = _few(groups, many).join(first, "cls").groupBy("grp").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("size"))
+    linked = _beside(groups, named, "grp", many).select("cls", "component")
+    found = classes.select("key", "cls", "first", "copies").join(F.broadcast(linked) if many <= SENT else linked, "cls", "left")
+    found = found.withColumn("component", F.coalesce("component", "first"))
     found = scratch.write(found.select("key", "component", "copies"), "near-found")
     total = sigs.count()
     out = join_skewed(sigs.select("doc_id", "key"), found, "key", "copies", total, "left")

@@ -270,6 +270,29 @@ def test_near_light_sets_meet_in_large_blocks(spark, monkeypatch):
     assert 0 < sum(made) <= sum(most)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_near_takes_few_rounds_for_few_rows(spark, monkeypatch, few):
+    """Where few members are in large clusters their sums shuffle nothing and all trees go down at once; more of them give the same groups in more rounds."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(1000 + k, prose(60, 90 + k // 3) + f" end{k}") for k in range(12)]
+    for i in range(100):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 8)):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near, "LEAF", 8)
+    if not few:
+        monkeypatch.setattr(near, "SENT", 0)
+        monkeypatch.setattr(near, "FEW", 0)
+    shuffles = spark.sparkContext._jsc.sc().newShuffleId
+    before = shuffles()
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    made = shuffles() - before - 1
+    assert got == brute.near(rows)
+    assert not few or made <= 40
+
+
 def test_near_reads_needed_texts_only(spark):
     """The texts of documents that share no node are left out before the shuffle; none that is needed is."""
     have = spark.range(40_000).selectExpr("id as doc_id", "'t' as text")
